@@ -29,6 +29,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(\p{IsHan})", " $1 "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once per row: the optimiser would copy a plain alias into every lambda that reads it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _sorted_runs(w: Column, run: int) -> Column:
+    """The runs of ``run`` words with their positions, sorted, so that equal runs are neighbours; empty where there are fewer than two.
+
+    n log n in the number of words; runs are compared as text, not by hash.
+    """
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(w, i, run), " ").alias("g"), i.alias("i")))
+    return F.when(F.size(w) > run, F.array_sort(runs)).when(w.isNotNull(), F.array().cast("array<struct<g:string,i:int>>"))
+
+
 def _repeats(ordered: Column) -> Column:
     """Positions, ascending, of the runs whose left neighbour in ``ordered`` (sorted by run, position) is the same run."""
     again = F.zip_with(ordered, F.slice(F.concat(F.array(F.lit(None).cast("struct<g:string,i:int>")), ordered), F.lit(1), F.size(ordered)), lambda x, y: F.when(x["g"] == y["g"], x["i"]))
@@ -59,26 +73,27 @@ def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOL
     """
     t = F.col(text)
     tidy = lambda a: F.filter(F.transform(a, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
-    out = df.withColumn("_rep_w", words(t))
-    w, n = F.col("_rep_w"), F.size("_rep_w")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - run + 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(w, i, run), " ").alias("g"), i.alias("i")))
-    out = out.withColumn("_rep_g", F.when(n > run, F.array_sort(grams)).when(t.isNotNull(), F.array().cast("array<struct<g:string,i:int>>")))
-    out = out.withColumn("_rep_at", _repeats(F.col("_rep_g")))
     lines, paragraphs, sentences = tidy(F.split(t, r"\R")), tidy(F.split(t, r"\R\s*\R")), tidy(F.split(t, r"(?<=[.!?])\s+|(?<=[。！？])|\R"))
+    out = _computed(df, _rep_w=words(t), _rep_l=lines, _rep_p=paragraphs, _rep_s=sentences)
+    w, n = F.col("_rep_w"), F.size("_rep_w")
+    out = _computed(out, _rep_g=_sorted_runs(w, run))
+    out = _computed(out, _rep_at=_repeats(F.col("_rep_g")))
+    out = _computed(out, _rep_c=_covered(F.col("_rep_at"), run))
     safe = lambda c: F.when(t.isNotNull(), F.coalesce(c, F.lit(0.0)))
     chars = F.length(t)
     metrics = {
         "n_words": F.when(t.isNotNull(), n),
-        "repeated_words": _covered(F.col("_rep_at"), run),
-        "repeated_word_share": safe(F.try_divide(_covered(F.col("_rep_at"), run).cast("double"), n)),
-        "repeated_line_share": safe(_unit_share(lines)),
-        "repeated_paragraph_share": safe(_unit_share(paragraphs)),
-        "repeated_sentence_share": safe(_unit_share(sentences)),
+        "repeated_words": F.col("_rep_c"),
+        "repeated_word_share": safe(F.try_divide(F.col("_rep_c").cast("double"), n)),
+        "repeated_line_share": safe(_unit_share(F.col("_rep_l"))),
+        "repeated_paragraph_share": safe(_unit_share(F.col("_rep_p"))),
+        "repeated_sentence_share": safe(_unit_share(F.col("_rep_s"))),
         "symbol_share": safe(F.try_divide(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]")).cast("double"), chars)),
         "stop_word_share": safe(F.try_divide(F.size(F.filter(w, lambda x: x.isin(*dict.fromkeys(STOP_WORDS)))).cast("double"), n)),
-        "mean_line_chars": safe(F.try_divide(F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).cast("double"), F.size(lines))),
+        "mean_line_chars": safe(F.try_divide(F.aggregate(F.col("_rep_l"), F.lit(0).cast("long"), lambda s, x: s + F.length(x)).cast("double"), F.size(F.col("_rep_l")))),
     }
-    return out.withColumns(metrics).withColumn("flags", flags(rules)).drop("_rep_w", "_rep_g", "_rep_at")
+    out = out.drop(*metrics, "flags")
+    return _computed(out, **metrics).select(*[c for c in out.columns if not c.startswith("_rep_")], *metrics, flags(rules).alias("flags"))
 
 
 def flags(rules: tuple = THRESHOLDS) -> Column:
