@@ -61,7 +61,7 @@ def kind(v: Column) -> Column:
 def header(obj: Column) -> Column:
     """The schema of one JSON object: an array of (name, kind) in order of name."""
     fields = F.map_entries(F.try_variant_get(obj, "$", "map<string,variant>"))
-    return F.array_sort(F.transform(fields, lambda e: F.struct(e["key"].alias("name"), kind(e["value"]).alias("kind"))))
+    return F.sort_array(F.transform(fields, lambda e: F.struct(e["key"].alias("name"), kind(e["value"]).alias("kind"))))
 
 
 def file_headers(files: DataFrame, key: str, body: str, inner: str | None = None) -> DataFrame:
@@ -141,7 +141,7 @@ def promoted(headers: DataFrame) -> DataFrame:
 
     The fold is a set union that is combined before the shuffle; a field has a dozen kinds at most.
     """
-    seen = headers.select("holder", F.explode("header").alias("f")).groupBy("holder", F.col("f.name").alias("field_name")).agg(F.array_sort(F.collect_set("f.kind")).alias("kinds"), F.count(F.lit(1)).alias("objects"))
+    seen = headers.select("holder", F.explode("header").alias("f")).groupBy("holder", F.col("f.name").alias("field_name")).agg(F.sort_array(F.collect_set("f.kind")).alias("kinds"), F.count(F.lit(1)).alias("objects"))
     up = lambda k: F.create_map(*[F.lit(x) for pair in ABOVE.items() for x in pair])[k]
     chain = lambda k: F.array_compact(F.array(k, up(k), up(up(k)), up(up(up(k)))))
     real = F.filter("kinds", lambda k: ~k.isin("null", "empty"))
