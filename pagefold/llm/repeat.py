@@ -40,13 +40,13 @@ def _sorted_runs(w: Column, run: int) -> Column:
     n log n in the number of words; runs are compared as text, not by hash.
     """
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(w, i, run), " ").alias("g"), i.alias("i")))
-    return F.when(F.size(w) > run, F.array_sort(runs)).when(w.isNotNull(), F.array().cast("array<struct<g:string,i:int>>"))
+    return F.when(F.size(w) > run, F.sort_array(runs)).when(w.isNotNull(), F.array().cast("array<struct<g:string,i:int>>"))
 
 
 def _repeats(ordered: Column) -> Column:
     """Positions, ascending, of the runs whose left neighbour in ``ordered`` (sorted by run, position) is the same run."""
     again = F.zip_with(ordered, F.slice(F.concat(F.array(F.lit(None).cast("struct<g:string,i:int>")), ordered), F.lit(1), F.size(ordered)), lambda x, y: F.when(x["g"] == y["g"], x["i"]))
-    return F.array_sort(F.filter(again, lambda x: x.isNotNull()))
+    return F.sort_array(F.filter(again, lambda x: x.isNotNull()))
 
 
 def _covered(at: Column, run: int) -> Column:
@@ -61,8 +61,8 @@ def _unit_share(units: Column) -> Column:
     return F.try_divide((size(units) - size(F.array_distinct(units))).cast("double"), size(units))
 
 
-def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOLDS) -> DataFrame:
-    """``df`` with the metrics of ``rules``, and ``flags``: the names of the rules that hold, in their order.
+def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOLDS, only_needed: bool = False) -> DataFrame:
+    """``df`` with its metrics (``only_needed``: those that ``rules`` read), and ``flags``: the names of the rules that hold, in their order.
 
     ``n_words``, ``repeated_words`` (words in runs of ``run`` or more that stood earlier in the same text),
     ``repeated_word_share``, the share of characters in repeated lines, paragraphs and sentences (trimmed, blank ones
@@ -74,7 +74,10 @@ def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOL
     t = F.col(text)
     tidy = lambda a: F.filter(F.transform(a, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
     lines, paragraphs, sentences = tidy(F.split(t, r"\R")), tidy(F.split(t, r"\R\s*\R")), tidy(F.split(t, r"(?<=[.!?])\s+|(?<=[。！？])|\R"))
-    out = _computed(df, _rep_w=words(t), _rep_l=lines, _rep_p=paragraphs, _rep_s=sentences)
+    units = {"_rep_l": lines, "_rep_p": paragraphs, "_rep_s": sentences}
+    if only_needed and not {rule[1] for rule in rules} & {"repeated_line_share", "repeated_paragraph_share", "repeated_sentence_share", "mean_line_chars"}:
+        units = {k: F.array().cast("array<string>") for k in units}
+    out = _computed(df, _rep_w=words(t), **units)
     w, n = F.col("_rep_w"), F.size("_rep_w")
     out = _computed(out, _rep_g=_sorted_runs(w, run))
     out = _computed(out, _rep_at=_repeats(F.col("_rep_g")))
@@ -92,6 +95,8 @@ def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOL
         "stop_word_share": safe(F.try_divide(F.size(F.filter(w, lambda x: x.isin(*dict.fromkeys(STOP_WORDS)))).cast("double"), n)),
         "mean_line_chars": safe(F.try_divide(F.aggregate(F.col("_rep_l"), F.lit(0).cast("long"), lambda s, x: s + F.length(x)).cast("double"), F.size(F.col("_rep_l")))),
     }
+    if only_needed:
+        metrics = {k: v for k, v in metrics.items() if k in {rule[1] for rule in rules}}
     out = out.drop(*metrics, "flags")
     return _computed(out, **metrics).select(*[c for c in out.columns if not c.startswith("_rep_")], *metrics, flags(rules).alias("flags"))
 
