@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.functions.values import computed, let
+
 #: Declared fields that one call takes; they are a fixed table and become part of the expressions.
 MAX_DECLARED = 1_000
 
@@ -31,30 +33,39 @@ ABOVE = {"integer": "number", "number": "any", "page id": "string", "string": "a
 def readable(body: Column) -> Column:
     """The body as a variant if it is exactly one JSON object, else null (empty, cut off, followed by more, a repeated key)."""
     whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    one = F.try_variant_get(whole, "$", "array<variant>")
-    only = F.when(F.size(one) == 1, F.get(one, F.lit(0)))
-    return F.when(F.schema_of_variant(only).startswith("OBJECT<"), only)
+    only = let(F.try_variant_get(whole, "$", "array<variant>"), lambda one: F.when(F.size(one) == 1, F.get(one, F.lit(0))))
+    return F.when(F.btrim(body, F.lit(" \t\r\n")).startswith("{"), only)
 
 
 def kind(v: Column) -> Column:
     """The kind of a JSON value. Numbers count by value: 2, 2.0 and 2e0 are integers."""
-    t = F.schema_of_variant(v)
-    items = F.try_variant_get(v, "$", "array<variant>")
     numeric = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     four = lambda a: (F.size(a) == 4) & F.forall(a, numeric)
-    whole = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(t == "VOID", "null")
-        .when(t == "BOOLEAN", "boolean")
+    number = let(F.try_variant_get(v, "$", "double"), lambda n: F.when(n == F.floor(n), "integer").otherwise("number"))
+    text = F.when(F.try_variant_get(v, "$", "string").rlike(PAGE_ID), "page id").otherwise("string")
+    boxes = lambda items: F.forall(items, lambda x: let(F.try_variant_get(x, "$", "array<variant>"), lambda a: F.coalesce(four(a), F.lit(False))))
+
+    def listed(t: Column) -> Column:
+        return let(
+            F.try_variant_get(v, "$", "array<variant>"),
+            lambda items: F.when(F.size(items) == 0, "empty")
+            .when(t.startswith("ARRAY<ARRAY<"), F.when(boxes(items), "boxes").otherwise("array"))
+            .when(t.startswith("ARRAY<OBJECT<"), "objects")
+            .when(four(items), "box")
+            .when((t == "ARRAY<VARIANT>") & boxes(items), "boxes")
+            .otherwise("array"),
+        )
+
+    return let(
+        F.schema_of_variant(v),
+        lambda t: F.when(t == "STRING", text)
         .when(t == "BIGINT", "integer")
-        .when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when(whole == F.floor(whole), "integer").otherwise("number"))
-        .when(t == "STRING", F.when(F.try_variant_get(v, "$", "string").rlike(PAGE_ID), "page id").otherwise("string"))
+        .when(t.startswith("ARRAY<"), listed(t))
+        .when(t == "VOID", "null")
         .when(t.startswith("OBJECT<"), "object")
-        .when(F.size(items) == 0, "empty")
-        .when(t.rlike("^ARRAY<(BIGINT|DECIMAL|DOUBLE|VARIANT)"), F.when(four(items), "box").otherwise("array"))
-        .when(t.startswith("ARRAY<ARRAY<") | (t == "ARRAY<VARIANT>"), F.when(F.forall(items, lambda x: F.coalesce(four(F.try_variant_get(x, "$", "array<variant>")), F.lit(False))), "boxes").otherwise("array"))
-        .when(t.startswith("ARRAY<OBJECT<"), "objects")
-        .otherwise("array")
+        .when(t == "BOOLEAN", "boolean")
+        .when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), number)
+        .otherwise("any"),
     )
 
 
@@ -69,7 +80,7 @@ def file_headers(files: DataFrame, key: str, body: str, inner: str | None = None
 
     Parsed once per file in the executors by built-in functions; nothing is shuffled. Elements that aren't objects give no row.
     """
-    read = files.select(key, readable(F.col(body)).alias("_v")).where("_v IS NOT NULL")
+    read = computed(files.select(key, F.col(body).alias("_b")), _v=readable(F.col("_b"))).where("_v IS NOT NULL")
     page = F.struct(F.lit("page").alias("holder"), F.lit(0).alias("at"), header(F.col("_v")).alias("header"))
     if inner is None:
         return read.select(key, page.alias("o")).select(key, "o.*")
@@ -160,16 +171,16 @@ def conformed(files: DataFrame, key: str, body: str, declared: dict[str, list[tu
     Each value is cast to the declared type, from its stand-in where the field was renamed; what can't be cast is null.
     Undeclared fields stay as JSON text in ``rest``. Unreadable bodies give no row.
     """
-    read = files.select(key, readable(F.col(body)).alias("_v")).where("_v IS NOT NULL")
+    read = computed(files.select(key, F.col(body).alias("_b")), _v=readable(F.col("_b"))).where("_v IS NOT NULL")
     if holder == "page":
         objects = read.select(key, F.lit(0).alias("at"), F.col("_v").alias("_o"))
     else:
         parts = F.coalesce(F.try_variant_get("_v", f"$.{inner}", "array<variant>"), F.array().cast("array<variant>"))
         objects = read.select(key, F.posexplode(parts).alias("at", "_o")).where(F.schema_of_variant("_o").startswith("OBJECT<")).withColumn("at", F.col("at") + 1)
     fields = declared.get(holder, [])
-    objects = objects.withColumn("_h", header(F.col("_o")))
-    objects = objects.withColumn("_c", F.map_from_entries(F.transform(F.filter(_departures(F.col("_h"), fields), lambda c: c["change_type"] == "renamed"), lambda c: F.struct(c["field_name"], c["found"]))))
-    values = F.try_variant_get("_o", "$", "map<string,variant>")
+    objects = computed(objects.select(key, "at", "_o"), _h=header(F.col("_o")))
+    objects = computed(objects, _c=F.map_from_entries(F.transform(F.filter(_departures(F.col("_h"), fields), lambda c: c["change_type"] == "renamed"), lambda c: F.struct(c["field_name"], c["found"]))), _m=F.try_variant_get("_o", "$", "map<string,variant>"))
+    values = F.col("_m")
     columns = []
     for name, json_type in fields:
         if json_type == "array of figure":
