@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.functions.values import computed
+
 #: Words in a run that counts as repeated.
 RUN = 6
 
@@ -29,11 +31,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(\p{IsHan})", " $1 "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are evaluated once per row: the optimiser would copy a plain alias into every lambda that reads it."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def _sorted_runs(w: Column, run: int) -> Column:
     """The runs of ``run`` words with their positions, sorted, so that equal runs are neighbours; empty where there are fewer than two.
 
@@ -77,11 +74,11 @@ def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOL
     units = {"_rep_l": lines, "_rep_p": paragraphs, "_rep_s": sentences}
     if only_needed and not {rule[1] for rule in rules} & {"repeated_line_share", "repeated_paragraph_share", "repeated_sentence_share", "mean_line_chars"}:
         units = {k: F.array().cast("array<string>") for k in units}
-    out = _computed(df, _rep_w=words(t), **units)
+    out = computed(df, _rep_w=words(t), **units)
     w, n = F.col("_rep_w"), F.size("_rep_w")
-    out = _computed(out, _rep_g=_sorted_runs(w, run))
-    out = _computed(out, _rep_at=_repeats(F.col("_rep_g")))
-    out = _computed(out, _rep_c=_covered(F.col("_rep_at"), run))
+    out = computed(out, _rep_g=_sorted_runs(w, run))
+    out = computed(out, _rep_at=_repeats(F.col("_rep_g")))
+    out = computed(out, _rep_c=_covered(F.col("_rep_at"), run))
     safe = lambda c: F.when(t.isNotNull(), F.coalesce(c, F.lit(0.0)))
     chars = F.length(t)
     metrics = {
@@ -98,7 +95,7 @@ def repetition(df: DataFrame, text: str, run: int = RUN, rules: tuple = THRESHOL
     if only_needed:
         metrics = {k: v for k, v in metrics.items() if k in {rule[1] for rule in rules}}
     out = out.drop(*metrics, "flags")
-    return _computed(out, **metrics).select(*[c for c in out.columns if not c.startswith("_rep_")], *metrics, flags(rules).alias("flags"))
+    return computed(out, **metrics).select(*[c for c in out.columns if not c.startswith("_rep_")], *metrics, flags(rules).alias("flags"))
 
 
 def flags(rules: tuple = THRESHOLDS) -> Column:
