@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagefold.functions.spelling import paper, paper_sql, place, place_sql
+from pagefold.functions.values import computed
 from pagefold.operators.drift import conformed, declared_of, departures, file_headers, promoted, readable
 from pagefold.operators.orphans import is_orphan, orphan_report, parent_intervals, resolve_references
+from pagefold.plans.shared import checkpointed
 from pagefold.sources.tables import table
 
 FILES = (("gt", "gt_files", "figures"), ("meta", "meta_files", None))
@@ -60,7 +62,8 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
     pdfs = pool.select(*ref("source_pool", "local_pdf_path"), F.col("doc_id").alias("ref_key"), F.col("added_at").alias("at"), place("local_pdf_path").alias("target"))
     spread = F.concat_ws("\x1f", "ref_key", "at")
     files = resolve_references(paths.unionByName(pdfs).withColumn("spread", spread), parent_intervals(artifacts.select(place("file_path").alias("key"), "written_at", "deleted_at"), "key", "written_at", "deleted_at"), "target", "at", "spread")
-    named = meta.select(*ref("meta_files", "doc_id"), F.col("file_path").alias("ref_key"), F.col("written_at").alias("at"), paper(F.try_variant_get(readable(F.col("body")), "$.doc_id", "string")).alias("target"))
+    doc = computed(meta, _doc=F.try_variant_get(readable(F.col("body")), "$.doc_id", "string"))
+    named = checkpointed(doc.select(*ref("meta_files", "doc_id"), F.col("file_path").alias("ref_key"), F.col("written_at").alias("at"), paper("_doc").alias("target")))  # bodies are parsed once
     papers = resolve_references(named.withColumn("spread", spread), parent_intervals(pool.select(paper("doc_id").alias("key"), "added_at", "removed_at"), "key", "added_at", "removed_at"), "target", "at", "spread")
     return files.unionByName(papers).drop("spread")
 
