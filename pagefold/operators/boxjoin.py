@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,9 @@ def box_join(left: DataFrame, right: DataFrame, *, reach: float | tuple[float, f
     if how == "inner":
         return pairs
     keys = [*on, *[f"a_{c}" for c in left.columns if c not in on]]
-    met = pairs.select(*keys).distinct()
-    plain = [F.col(c) for c in on] + [F.col(f"a_{c}").alias(c) for c in left.columns if c not in on]
-    same = [a[c].eqNullSafe(met[c]) for c in keys]
-    test = same[0]
-    for s in same[1:]:
-        test = test & s
-    return a.join(met, test, how).select(*[a[c] for c in keys]).select(*plain)
+    met = pairs.select(*[F.col(k).alias(f"_met_{i}") for i, k in enumerate(keys)]).distinct()
+    test = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_met_{i}")) for i, k in enumerate(keys)])
+    return a.join(met, test, how).select(*on, *[F.col(f"a_{c}").alias(c) for c in left.columns if c not in on])
 
 
 def self_pairs(boxes: DataFrame, *, reach: float | tuple[float, float] = 0.0, where: Column | None = None, on: tuple[str, ...] = ("page_idx",)) -> DataFrame:
