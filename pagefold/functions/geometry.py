@@ -17,7 +17,16 @@ def sides(b: Box) -> tuple[Column, Column, Column, Column]:
 
 
 def zero(c: Column) -> Column:
-    return F.greatest(c, F.lit(0.0))
+    """The value, 0 at least; null stays null."""
+    return F.when(c > 0, c).when(c <= 0, F.lit(0.0))
+
+
+def _known(value: Column, *parts: Column) -> Column:
+    """``greatest`` and ``least`` skip nulls: a measure with an unknown part is unknown."""
+    test = parts[0].isNotNull()
+    for p in parts[1:]:
+        test = test & p.isNotNull()
+    return F.when(test, value)
 
 
 def width(b: Box) -> Column:
@@ -36,12 +45,12 @@ def area(b: Box) -> Column:
 
 def overlap_x(a: Box, b: Box) -> Column:
     (ax0, _, ax1, _), (bx0, _, bx1, _) = sides(a), sides(b)
-    return F.least(ax1, bx1) - F.greatest(ax0, bx0)
+    return _known(F.least(ax1, bx1) - F.greatest(ax0, bx0), ax0, ax1, bx0, bx1)
 
 
 def overlap_y(a: Box, b: Box) -> Column:
     (_, ay0, _, ay1), (_, by0, _, by1) = sides(a), sides(b)
-    return F.least(ay1, by1) - F.greatest(ay0, by0)
+    return _known(F.least(ay1, by1) - F.greatest(ay0, by0), ay0, ay1, by0, by1)
 
 
 def inter_area(a: Box, b: Box) -> Column:
@@ -53,7 +62,7 @@ def ranges_touch(a: Box, b: Box) -> Column:
 
 
 def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.when(whole > 0, part / whole).when(whole <= 0, F.lit(0.0))
 
 
 def iou(a: Box, b: Box) -> Column:

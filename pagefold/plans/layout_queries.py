@@ -49,7 +49,7 @@ def gap_sql(a: str, b: str) -> str:
     return f"sqrt({dx} * {dx} + {dy} * {dy})"
 
 
-WITH_ATOMS = f"WITH atoms AS ({ATOMS_SQL}), preds AS ({PREDICTIONS_SQL}), pages AS ({PAGES_SQL})"
+WITH_ATOMS = f"WITH atoms AS MATERIALIZED ({ATOMS_SQL}), preds AS MATERIALIZED ({PREDICTIONS_SQL}), pages AS MATERIALIZED ({PAGES_SQL})"
 
 
 @query(f"{WITH_ATOMS} SELECT * FROM atoms")
@@ -91,13 +91,13 @@ def box_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 # Greedy matching as four unrolled rounds of mutual best choice; a test asserts that no pair is left after them.
 def _match_sql(rounds: int = 4) -> str:
-    parts = [f"pairs AS (SELECT a.page_idx, a.ord AS gt, b.ord AS pred, {iou_sql('a.', 'b.')} AS iou FROM atoms a JOIN preds b USING (page_idx) WHERE {iou_sql('a.', 'b.')} >= 0.5)", "r0 AS (SELECT * FROM pairs)"]
+    parts = [f"pairs AS MATERIALIZED (SELECT a.page_idx, a.ord AS gt, b.ord AS pred, {iou_sql('a.', 'b.')} AS iou FROM atoms a JOIN preds b USING (page_idx) WHERE {iou_sql('a.', 'b.')} >= 0.5)", "r0 AS (SELECT * FROM pairs)"]
     for i in range(rounds):
-        parts.append(f"k{i} AS (SELECT *, row_number() OVER (PARTITION BY page_idx, gt ORDER BY iou DESC, gt, pred) AS g, row_number() OVER (PARTITION BY page_idx, pred ORDER BY iou DESC, gt, pred) AS p FROM r{i})")
-        parts.append(f"m{i} AS (SELECT page_idx, gt, pred, iou FROM k{i} WHERE g = 1 AND p = 1)")
-        parts.append(f"r{i + 1} AS (SELECT r.* FROM r{i} r WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.page_idx = r.page_idx AND (m.gt = r.gt OR m.pred = r.pred)))")
+        parts.append(f"k{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_idx, gt ORDER BY iou DESC, gt, pred) AS g, row_number() OVER (PARTITION BY page_idx, pred ORDER BY iou DESC, gt, pred) AS p FROM r{i})")
+        parts.append(f"m{i} AS MATERIALIZED (SELECT page_idx, gt, pred, iou FROM k{i} WHERE g = 1 AND p = 1)")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT r.* FROM r{i} r WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.page_idx = r.page_idx AND (m.gt = r.gt OR m.pred = r.pred)))")
     union = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(rounds))
-    return ", ".join([*parts, f"matches AS ({union})"])
+    return ", ".join([*parts, f"matches AS MATERIALIZED ({union})"])
 
 
 _F1 = "CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END"
@@ -138,9 +138,9 @@ _SIDES = {"left": ("p_x0 - g_x0", "gw"), "top": ("p_y0 - g_y0", "gh"), "right":
 _ERRORS = [(f"crop_{s}", f"greatest({e}, 0.0) / {m}") for s, (e, m) in _SIDES.items()] + [(f"over_{s}", f"greatest(-({e}), 0.0) / {m}") for s, (e, m) in _SIDES.items()]
 _FLAG_TESTS = [("fp", "status = 'FP'"), ("low_iou_match", "status = 'MATCH' AND iou < 0.75"), ("low_pred_purity", "purity < 0.85"), ("low_gt_coverage", "status = 'MATCH' AND coverage < 0.9"), *[(n, f"{area_sql('g_')} > 0 AND {e} > 0.1") for n, e in _ERRORS], ("oversized_box", "area_ratio > 1.8"), ("inside_gt_fragment_or_legend", "coverage < 0.65 AND purity > 0.9")]
 _STRICT = f"""{WITH_ATOMS}, {_match_sql()},
- hit AS (SELECT m.page_idx, 'MATCH' AS status, m.gt, m.pred, p.x0 AS p_x0, p.y0 AS p_y0, p.x1 AS p_x1, p.y1 AS p_y1, t.x0 AS g_x0, t.y0 AS g_y0, t.x1 AS g_x1, t.y1 AS g_y1 FROM matches m JOIN atoms t ON t.page_idx = m.page_idx AND t.ord = m.gt JOIN preds p ON p.page_idx = m.page_idx AND p.ord = m.pred),
- lone AS (SELECT p.* FROM preds p WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.page_idx = p.page_idx AND m.pred = p.ord)),
- near AS (SELECT * FROM (SELECT p.page_idx, p.ord AS pred, t.x0 AS g_x0, t.y0 AS g_y0, t.x1 AS g_x1, t.y1 AS g_y1, row_number() OVER (PARTITION BY p.page_idx, p.ord ORDER BY {iou_sql('p.', 't.')} DESC, t.ord) AS n FROM lone p JOIN atoms t USING (page_idx) WHERE {inter_sql('p.', 't.')} > 0) WHERE n = 1),
+ hit AS MATERIALIZED (SELECT m.page_idx, 'MATCH' AS status, m.gt, m.pred, p.x0 AS p_x0, p.y0 AS p_y0, p.x1 AS p_x1, p.y1 AS p_y1, t.x0 AS g_x0, t.y0 AS g_y0, t.x1 AS g_x1, t.y1 AS g_y1 FROM matches m JOIN atoms t ON t.page_idx = m.page_idx AND t.ord = m.gt JOIN preds p ON p.page_idx = m.page_idx AND p.ord = m.pred),
+ lone AS MATERIALIZED (SELECT p.* FROM preds p WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.page_idx = p.page_idx AND m.pred = p.ord)),
+ near AS MATERIALIZED (SELECT * FROM (SELECT p.page_idx, p.ord AS pred, t.x0 AS g_x0, t.y0 AS g_y0, t.x1 AS g_x1, t.y1 AS g_y1, row_number() OVER (PARTITION BY p.page_idx, p.ord ORDER BY {iou_sql('p.', 't.')} DESC, t.ord) AS n FROM lone p JOIN atoms t USING (page_idx) WHERE {inter_sql('p.', 't.')} > 0) WHERE n = 1),
  fps AS (SELECT p.page_idx, 'FP' AS status, CAST(NULL AS INTEGER) AS gt, p.ord AS pred, p.x0 AS p_x0, p.y0 AS p_y0, p.x1 AS p_x1, p.y1 AS p_y1, coalesce(n.g_x0, 0.0) AS g_x0, coalesce(n.g_y0, 0.0) AS g_y0, coalesce(n.g_x1, 0.0) AS g_x1, coalesce(n.g_y1, 0.0) AS g_y1 FROM lone p LEFT JOIN near n ON n.page_idx = p.page_idx AND n.pred = p.ord),
  measured AS (SELECT *, {iou_sql('p_', 'g_')} AS iou, {cover_sql('p_', 'g_', area_sql('p_'))} AS purity, {cover_sql('g_', 'p_', area_sql('g_'))} AS coverage, CASE WHEN {area_sql('g_')} > 0 THEN {area_sql('p_')} / {area_sql('g_')} ELSE 0.0 END AS area_ratio, greatest(g_x1 - g_x0, 1.0) AS gw, greatest(g_y1 - g_y0, 1.0) AS gh FROM (SELECT * FROM hit UNION ALL SELECT * FROM fps)),
  strict AS (SELECT page_idx, status, gt, pred, round(iou, 4) AS iou, round(purity, 4) AS purity, round(coverage, 4) AS coverage, round(area_ratio, 4) AS area_ratio, concat_ws('|', {', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _FLAG_TESTS)}) AS flags FROM measured
