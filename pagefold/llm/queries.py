@@ -66,7 +66,7 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
     shares = {r["split_name"]: r["target_share"] for r in table(spark, d, "split_targets").limit(1000).collect()}
-    return update_components(_entities(spark, d), "entity", "page_id", shares)
+    return update_components(_entities(spark, d), "entity", "page_id", shares).nodes
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:

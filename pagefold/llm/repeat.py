@@ -49,7 +49,7 @@ def _repeats(ordered: Column) -> Column:
 def _covered(at: Column, run: int) -> Column:
     """Words in the union of the runs of ``run`` words that start at ``at``: the gaps between starts, ``run`` at most."""
     following = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.lit(None).cast("int")))
-    return F.aggregate(F.zip_with(at, following, lambda x, y: F.least(F.coalesce(y - x, F.lit(run)), F.lit(run))), F.lit(0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(at, following, lambda x, y: F.when(x.isNull(), 0).otherwise(F.least(F.coalesce(y - x, F.lit(run)), F.lit(run)))), F.lit(0), lambda s, x: s + x)
 
 
 def _unit_share(units: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,14 @@ from pagefold.plans.shared import checkpointed, new_table_path
 LARGE_SHARE = 0.001
 QUARANTINE = "quarantine"
 TABLE = T.StructType([T.StructField("node", T.StringType()), T.StructField("component", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("split", T.StringType()), T.StructField("conflict", T.BooleanType())])
+ITEMS = T.StructType([T.StructField("item", T.StringType()), T.StructField("holder", T.StringType())])
+
+
+class Components(NamedTuple):
+    """The persisted state: ``nodes`` (TABLE) and ``items`` (ITEMS, one node that holds each item)."""
+
+    nodes: DataFrame
+    items: DataFrame
 
 
 def _place_new(sizes: DataFrame, shares: dict[str, float], have: dict[str, int]) -> DataFrame:
@@ -46,22 +56,29 @@ def _place_new(sizes: DataFrame, shares: dict[str, float], have: dict[str, int])
     return ordered.select("component", split.alias("split")).union(spark.createDataFrame(fixed, "component string, split string"))
 
 
-def update_components(rows: DataFrame, node: str, item: str, shares: dict[str, float], known: DataFrame | None = None) -> DataFrame:
-    """The component table ``node, component, rows, split, conflict`` after ``rows`` (a batch) joined ``known`` (the table before; null at first).
+def update_components(rows: DataFrame, node: str, item: str, shares: dict[str, float], known: Components | None = None) -> Components:
+    """The components after ``rows`` (a batch) joined ``known`` (the state before; null at first).
 
-    Nodes that share an item are related, and so are chains of them. Components that were known keep their split;
-    a component of new nodes fills the split that lacks most; new nodes that join a known component take its split.
-    Where a batch joins known components of different splits, their old nodes keep theirs, the new ones come out
-    as ``quarantine``, and all are marked ``conflict``. ``rows`` counts rows of all batches. Rows with a null node are
-    dropped, a null item relates nothing. An empty batch gives the table as it was. The result is written to the
-    shared folder and read from there, so it outlives executors.
+    Nodes that share an item, of this batch or an earlier one, are related, and so are chains of them. Components that
+    were known keep their split; a component of new nodes fills the split that lacks most; new nodes that join a known
+    component take its split. Where a batch joins known components of different splits, their old nodes keep theirs,
+    the new ones come out as ``quarantine``, and all are marked ``conflict``. ``rows`` counts rows of all batches. Rows
+    with a null node are dropped, a null item relates nothing. An empty batch gives the state as it was. The result is
+    written to the shared folder and read from there, so it outlives executors.
     """
     spark = rows.sparkSession
     if not shares or any(x < 0 for x in shares.values()) or QUARANTINE in shares:
         raise ValueError("shares are named and not negative")
-    known = spark.createDataFrame([], TABLE) if known is None else known.select(*TABLE.fieldNames())
-    batch = rows.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node IS NOT NULL")
+    old_items = spark.createDataFrame([], ITEMS) if known is None else known.items
+    known = spark.createDataFrame([], TABLE) if known is None else known.nodes.select(*TABLE.fieldNames())
+    batch = rows.select(F.col(node).cast("string").alias("node"), F.col(item).cast("string").alias("item")).where("node IS NOT NULL")
     counts = batch.groupBy("node").agg(F.count(F.lit(1)).alias("_new"))
+    holders = batch.where("item IS NOT NULL").groupBy("item").agg(F.min("node").alias("_one")).join(old_items, "item", "full")
+    holders = holders.select("item", F.coalesce("holder", "_one").alias("holder"), "_one")
+    path_items = new_table_path(spark, "items")
+    holders.write.parquet(path_items)
+    held = spark.read.parquet(path_items)
+    batch = batch.unionByName(held.where("_one IS NOT NULL AND holder <> _one").select(F.col("holder").alias("node"), "item"))
     edges = shared_item_edges(batch, "node", "item")
     for c, other in (("a", "b"), ("b", "a")):
         now = known.select(F.col("node").alias(c), F.col("component").alias("_c"))
@@ -84,7 +101,7 @@ def update_components(rows: DataFrame, node: str, item: str, shares: dict[str, f
     out = merge_lookup(every, state, "component", F.col("node")).select("node", "component", "rows", F.coalesce("_split", "_take").alias("split"), "conflict")
     path = new_table_path(spark, "components")
     out.write.parquet(path)
-    return spark.read.schema(TABLE).parquet(path)
+    return Components(spark.read.schema(TABLE).parquet(path), held.select("item", "holder"))
 
 
 def related_pairs(members: DataFrame, member: str, component: str) -> DataFrame:
