@@ -72,6 +72,7 @@ def update_components(rows: DataFrame, node: str, item: str, shares: dict[str, f
     old_items = spark.createDataFrame([], ITEMS) if known is None else known.items
     known = spark.createDataFrame([], TABLE) if known is None else known.nodes.select(*TABLE.fieldNames())
     batch = rows.select(F.col(node).cast("string").alias("node"), F.col(item).cast("string").alias("item")).where("node IS NOT NULL")
+    batch = checkpointed(batch)  # read five times below
     counts = batch.groupBy("node").agg(F.count(F.lit(1)).alias("_new"))
     holders = batch.where("item IS NOT NULL").groupBy("item").agg(F.min("node").alias("_one")).join(old_items, "item", "full")
     holders = holders.select("item", F.coalesce("holder", "_one").alias("holder"), "_one")
