@@ -10,9 +10,9 @@ from pagefold.operators.boxjoin import box_join
 from pagefold.operators.groups import arbitrate, page_clusters, suppress
 
 # Sizes in points that the rules compare with.
-BORDER_WIDTH, BORDER_HEIGHT = 80.0, 60.0
-BAND_WIDTH, BAND_HEIGHT, BAND_ASPECT = 80.0, 10.0, 4.0
-CLUSTER_WIDTH, CLUSTER_HEIGHT, SLENDER_LONG, SLENDER_SHORT, SLENDER_ASPECT = 60.0, 60.0, 120.0, 8.0, 3.0
+BORDER_WIDTH, BORDER_HEIGHT = 80.0, 80.0
+BAND_WIDTH, BAND_HEIGHT, BAND_ASPECT = 80.0, 12.0, 2.0
+CLUSTER_WIDTH, CLUSTER_HEIGHT, SLENDER_LONG, SLENDER_SHORT, SLENDER_ASPECT = 24.0, 24.0, 80.0, 8.0, 4.0
 IMAGE_AREA, COMPOSITE_GAP, COMPOSITE_MEMBERS, EDGE = 64.0, 12.0, 3, 12.0
 
 
@@ -61,20 +61,31 @@ def distinct_images(images: DataFrame, page_w: float, page_h: float) -> DataFram
 
 
 def raster_strips(rasters: DataFrame, *keys: str) -> DataFrame:
-    """Groups of rasters that form one row or column: tight together (union at most 1.35 of their areas), edges aligned, small gaps."""
+    """Groups of two or more rasters that form one column or row.
+
+    Tight together (union at most 1.35 of their areas), edges aligned within a fifth of the median size (8 points at
+    least); each box lies within a quarter of the median extent (24 points at least) of the one before and overlaps it
+    across by 80 %.
+    """
     median = lambda c: F.percentile(c, 0.5)
 
-    def gaps(order: str, lo: str, hi: str) -> Column:
-        return F.col(lo) - F.lag(hi).over(Window.partitionBy(*keys).orderBy(order, "ord"))
+    def before(order: str, c: str) -> Column:
+        return F.lag(c).over(Window.partitionBy(*keys).orderBy(order, "ord"))
+
+    def across(order: str, lo: str, hi: str) -> Column:
+        low, high = before(order, lo), before(order, hi)
+        shared = F.least(F.col(hi), high) - F.greatest(F.col(lo), low)
+        return F.when(low.isNotNull(), shared / F.greatest(F.least(F.col(hi) - F.col(lo), high - low), F.lit(1.0)))
 
-    spaced = rasters.withColumns({"_gx": gaps("x0", "x0", "x1"), "_gy": gaps("y0", "y0", "y1")})
+    spaced = rasters.withColumns({"_gx": F.col("x0") - before("x0", "x1"), "_gy": F.col("y0") - before("y0", "y1"), "_cx": across("x0", "y0", "y1"), "_cy": across("y0", "x0", "x1")})
     s = spaced.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("members"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(area("")).alias("_sum"), median(width("")).alias("_w"), median(height("")).alias("_h"),
-        (F.max("x0") - F.min("x0")).alias("_dx0"), (F.max("x1") - F.min("x1")).alias("_dx1"), (F.max("y0") - F.min("y0")).alias("_dy0"), (F.max("y1") - F.min("y1")).alias("_dy1"), F.max("_gx").alias("_gx"), F.max("_gy").alias("_gy"),
+        *[(F.max(c) - F.min(c)).alias(f"_d{c}") for c in ("x0", "x1", "y0", "y1")],
+        F.max(F.abs("_gx")).alias("_gx"), F.max(F.abs("_gy")).alias("_gy"), F.min("_cx").alias("_cx"), F.min("_cy").alias("_cy"),
     )
-    tx, ty = F.greatest(F.lit(8.0), F.col("_w") * 0.2), F.greatest(F.lit(8.0), F.col("_h") * 0.2)
-    column = (F.col("_dx0") <= tx) & (F.col("_dx1") <= tx) & (F.col("_gy") <= ty)
-    row = (F.col("_dy0") <= ty) & (F.col("_dy1") <= ty) & (F.col("_gx") <= tx)
+    aligned = lambda c, size: (F.col(f"_d{c}0") <= F.greatest(F.lit(8.0), size * 0.2)) & (F.col(f"_d{c}1") <= F.greatest(F.lit(8.0), size * 0.2))
+    close = lambda c, size: (F.col(f"_g{c}") <= F.greatest(F.lit(24.0), size * 0.25)) & (F.col(f"_c{c}") >= 0.8)
+    column, row = aligned("x", F.col("_w")) & close("y", F.col("_h")), aligned("y", F.col("_h")) & close("x", F.col("_w"))
     tight = (F.col("members") >= 2) & (F.col("_sum") > 0) & (area("") / F.col("_sum") <= 1.35)
     return s.where(tight & (column | row)).select(*keys, "members", "x0", "y0", "x1", "y1", F.when(column, "column").otherwise("row").alias("strip"))
 
@@ -129,11 +140,26 @@ def primitive_groups(primitives: DataFrame) -> DataFrame:
     return primitives.groupBy("page_idx", "group_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("members"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), shared.alias("operator"))
 
 
+# The most that a seed of each kind of evidence counts, and how covering over a quarter of the page costs.
+SEED_CAPS = {"layout_column": 0.8, "image_cluster": 0.65, "image_seed": 0.45, "captioned_image_seed": 0.4, "caption_anchor_visual": 0.55, "visual_community": 0.35, "seed_free_compact_visual": 0.18, "seed_free_isolated_visual": 0.12, "border": 0.35}
+OTHER_CAP = 0.5
+COVERAGE_COSTS = {"visual_community": 2.0, "seed_free_compact_visual": 2.4}
+
+
+def _of(table: dict[str, float], key: Column, other: float) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key], F.lit(other))
+
+
 def closure_scores(closures: DataFrame, page_area: float) -> DataFrame:
-    """Scores of closures ``page_idx, seed, nodes, atoms, seed_score`` with a box: seed, richness and level less the penalty of covering over a quarter of the page; best first on a page as ``rank``."""
-    ratio = area("") / page_area
-    rich = F.log1p("nodes") * 0.2 + F.log1p("atoms") * 0.12
-    scored = closures.where(area("") > 0).withColumn("score", F.round(F.col("seed_score") + rich + 0.2 - zero(ratio - 0.25) * 2.4, 4))
+    """Scores of closures ``page_idx, seed, nodes, atoms, evidence, seed_score`` with a box; best first on a page as ``rank``.
+
+    The capped score of the seed, richness by nodes and atoms, 0.2 for the level, less the cost of covering too much of
+    the page. Empty boxes fall out.
+    """
+    kind = F.coalesce("evidence", F.lit(""))
+    rich = F.round(F.log1p("nodes") * 0.2 + F.log1p("atoms") * 0.12, 4)
+    cost = zero(area("") / page_area - 0.25) * _of(COVERAGE_COSTS, kind, 0.0)
+    scored = closures.where(area("") > 0).withColumn("score", F.round(F.least(F.col("seed_score"), _of(SEED_CAPS, kind, OTHER_CAP)) + rich + 0.2 - cost, 4))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("page_idx").orderBy(F.col("score").desc(), F.col("seed").asc())))
 
 

@@ -59,13 +59,23 @@ def text_barriers(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def attachment_side(a: str, b: str, max_gap: float = ATTACH_GAP) -> Column:
-    """The first side of ``a``, of bottom, top, right and left, where ``b`` lies within ``max_gap`` along half of it."""
+    """The first side of ``a``, of bottom, top, right and left, where ``b`` lies within ``max_gap`` along half of it.
+
+    Null if ``b`` is too large for a part at that side: over 2.5 times as wide, or over 1.5 (beside: 1.75) times as high.
+    """
     ox, oy = overlap_x(a, b), overlap_y(a, b)
-    wide = (ox > 0) & (ox / F.greatest(width(a), F.lit(1.0)) >= 0.5)
-    tall = (oy > 0) & (oy / F.greatest(height(a), F.lit(1.0)) >= 0.5)
+    aw, ah = F.greatest(width(a), F.lit(1.0)), F.greatest(height(a), F.lit(1.0))
+    wide, tall = (ox > 0) & (ox / aw >= 0.5), (oy > 0) & (oy / ah >= 0.5)
     c = lambda p, s: F.col(f"{p}{s}")
     near = lambda d: d.between(0, max_gap)
-    return F.when(wide & near(c(b, "y0") - c(a, "y1")), "bottom").when(wide & near(c(a, "y0") - c(b, "y1")), "top").when(tall & near(c(b, "x0") - c(a, "x1")), "right").when(tall & near(c(a, "x0") - c(b, "x1")), "left")
+    narrow = width(b) <= aw * 2.5
+    over, beside = narrow & (height(b) <= ah * 1.5), narrow & (height(b) <= ah * 1.75)
+    return (
+        F.when(wide & near(c(b, "y0") - c(a, "y1")), F.when(over, "bottom"))
+        .when(wide & near(c(a, "y0") - c(b, "y1")), F.when(over, "top"))
+        .when(tall & near(c(b, "x0") - c(a, "x1")), F.when(beside, "right"))
+        .when(tall & near(c(a, "x0") - c(b, "x1")), F.when(beside, "left"))
+    )
 
 
 def page_graph(atoms: DataFrame, panels: DataFrame, captions: DataFrame) -> DataFrame:
@@ -107,22 +117,24 @@ def bipolar(edges: DataFrame) -> DataFrame:
 
 
 def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 1_000) -> DataFrame:
-    """``page_idx, seed, node, depth``: nodes that a seed reaches along attracting edges whose source doesn't also repel the target.
+    """``page_idx, seed, node, content``: nodes that a seed reaches along attracting edges whose source doesn't also repel the target.
 
-    Breadth first, one join per step on (page, node), each step checkpointed; a seed is among its nodes only if an edge
-    leads back to it. Stops when a step reaches nothing new, at ``max_depth`` with an error.
+    ``content`` is false for nodes that only captions lead to. Breadth first, one join per step on (page, node), each
+    step checkpointed; a seed is among its nodes only if an edge leads back to it. Stops when a step reaches nothing
+    new, at ``max_depth`` with an error.
     """
-    pull = edges.where("polarity = 'attract'").select("page_idx", "source", "target")
+    pull = edges.where("polarity = 'attract'").select("page_idx", "source", "target", (F.col("relation") != "caption_of").alias("_content"))
     push = edges.where("polarity = 'repel'").select("page_idx", "source", "target")
-    steps = checkpointed(pull.join(push, ["page_idx", "source", "target"], "left_anti").distinct())
-    front = seeds.select("page_idx", F.col("ord").alias("seed"), F.col("ord").alias("node"), F.lit(0).alias("depth"))
-    reached = None
-    for depth in range(1, max_depth + 1):
-        nxt = front.join(steps.withColumnRenamed("source", "node"), ["page_idx", "node"]).select("page_idx", "seed", F.col("target").alias("node")).distinct()
-        if reached is not None:
-            nxt = nxt.join(reached, ["page_idx", "seed", "node"], "left_anti")
-        front = checkpointed(nxt.withColumn("depth", F.lit(depth)))
+    steps = pull.join(push, ["page_idx", "source", "target"], "left_anti").groupBy("page_idx", "source", "target").agg(F.bool_or("_content").alias("_content"))
+    steps = checkpointed(steps.withColumnRenamed("source", "node"))
+    front = reached = seeds.select("page_idx", F.col("ord").alias("seed"), F.col("ord").alias("node")).distinct()
+    found = None
+    for _ in range(max_depth):
+        new = front.join(steps, ["page_idx", "node"]).groupBy("page_idx", "seed", F.col("target").alias("node")).agg(F.bool_or("_content").alias("_content"))
+        new = checkpointed(new)  # every edge out of the front, so content counts from all sources once they are reached
+        found = new if found is None else found.unionByName(new)
+        front = checkpointed(new.select("page_idx", "seed", "node").join(reached, ["page_idx", "seed", "node"], "left_anti"))
         if front.isEmpty():
-            return front if reached is None else reached
-        reached = front if reached is None else reached.unionByName(front)
+            return found.groupBy("page_idx", "seed", "node").agg(F.bool_or("_content").alias("content"))
+        reached = reached.unionByName(front)
     raise RuntimeError("a closure is deeper than max_depth")

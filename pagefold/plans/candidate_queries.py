@@ -29,8 +29,8 @@ _W, _H = "(x1 - x0)", "(y1 - y0)"
 
 
 @query(
-    f"""{WITH_ATOMS} SELECT page_idx, ord, CASE WHEN xref % 2 = 0 AND {_W} >= 80 AND {_H} >= 60 THEN 'panel_border' WHEN xref % 3 = 0 AND {_W} >= 80 AND {_H} >= 10 AND {_W} / greatest({_H}, 1.0) >= 4 THEN 'color_band' WHEN {_W} >= 60 AND {_H} >= 60 THEN 'vector_cluster'
- WHEN least({_W}, {_H}) >= 8 AND greatest({_W}, {_H}) >= 120 AND greatest({_W}, {_H}) / greatest(least({_W}, {_H}), 1.0) >= 3 THEN 'vector_cluster' END AS kind,
+    f"""{WITH_ATOMS} SELECT page_idx, ord, CASE WHEN xref % 2 = 0 AND {_W} >= 80 AND {_H} >= 80 THEN 'panel_border' WHEN xref % 3 = 0 AND {_W} >= 80 AND {_H} >= 12 AND {_W} / greatest({_H}, 1.0) >= 2 THEN 'color_band' WHEN {_W} >= 24 AND {_H} >= 24 THEN 'vector_cluster'
+ WHEN least({_W}, {_H}) >= 8 AND greatest({_W}, {_H}) >= 80 AND greatest({_W}, {_H}) / greatest(least({_W}, {_H}), 1.0) >= 4 THEN 'vector_cluster' END AS kind,
  CASE WHEN {_W} >= 80 AND {_H} <= greatest(6.0, xref % 20 * 4.0) THEN 'horizontal' WHEN {_H} >= 80 AND {_W} <= greatest(6.0, xref % 20 * 4.0) THEN 'vertical' END AS orientation FROM atoms"""
 )
 def drawing_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +58,11 @@ def distinct_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{WITH_ATOMS}, s AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page_idx ORDER BY x0, ord) AS gx, y0 - lag(y1) OVER (PARTITION BY page_idx ORDER BY y0, ord) AS gy FROM atoms WHERE kind = 'raster_image'),
- g AS (SELECT page_idx, count(*) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum({area_sql('')}) AS total, greatest(8.0, median(x1 - x0) * 0.2) AS tx, greatest(8.0, median(y1 - y0) * 0.2) AS ty, max(x0) - min(x0) AS dx0, max(x1) - min(x1) AS dx1, max(y0) - min(y0) AS dy0, max(y1) - min(y1) AS dy1, max(gx) AS gx, max(gy) AS gy FROM s GROUP BY 1)
- SELECT page_idx, members, x0, y0, x1, y1, CASE WHEN dx0 <= tx AND dx1 <= tx AND gy <= ty THEN 'column' ELSE 'row' END AS strip FROM g WHERE members >= 2 AND {area_sql('')} / total <= 1.35 AND ((dx0 <= tx AND dx1 <= tx AND gy <= ty) OR (dy0 <= ty AND dy1 <= ty AND gx <= tx))"""
+    f"""{WITH_ATOMS}, p AS (SELECT *, lag(x0) OVER u AS ax0, lag(x1) OVER u AS ax1, lag(y0) OVER u AS ay0, lag(y1) OVER u AS ay1, lag(x0) OVER v AS bx0, lag(x1) OVER v AS bx1, lag(y1) OVER v AS by1 FROM atoms WHERE kind = 'raster_image' WINDOW u AS (PARTITION BY page_idx ORDER BY x0, ord), v AS (PARTITION BY page_idx ORDER BY y0, ord)),
+ s AS (SELECT *, x0 - ax1 AS gx, y0 - by1 AS gy, CASE WHEN ay0 IS NOT NULL THEN (least(y1, ay1) - greatest(y0, ay0)) / greatest(least(y1 - y0, ay1 - ay0), 1.0) END AS cx, CASE WHEN bx0 IS NOT NULL THEN (least(x1, bx1) - greatest(x0, bx0)) / greatest(least(x1 - x0, bx1 - bx0), 1.0) END AS cy FROM p),
+ g AS (SELECT page_idx, count(*) AS members, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum({area_sql('')}) AS total, median(x1 - x0) AS w, median(y1 - y0) AS h, max(x0) - min(x0) AS dx0, max(x1) - min(x1) AS dx1, max(y0) - min(y0) AS dy0, max(y1) - min(y1) AS dy1, max(abs(gx)) AS gx, max(abs(gy)) AS gy, min(cx) AS cx, min(cy) AS cy FROM s GROUP BY 1),
+ t AS (SELECT *, greatest(dx0, dx1) <= greatest(8.0, w * 0.2) AND gy <= greatest(24.0, h * 0.25) AND cy >= 0.8 AS in_column, greatest(dy0, dy1) <= greatest(8.0, h * 0.2) AND gx <= greatest(24.0, w * 0.25) AND cx >= 0.8 AS in_row FROM g WHERE members >= 2)
+ SELECT page_idx, members, x0, y0, x1, y1, CASE WHEN in_column THEN 'column' ELSE 'row' END AS strip FROM t WHERE {area_sql('')} / total <= 1.35 AND (in_column OR in_row)"""
 )
 def raster_strips(spark: SparkSession, d: str) -> DataFrame:
     return c.raster_strips(atoms(spark, d).where("kind = 'raster_image'"), "page_idx")
@@ -117,7 +119,7 @@ def ranked_closures(spark: SparkSession, d: str) -> DataFrame:
     a = atoms(spark, d)
     reached = graph_closure(spark, d).join(a.withColumnRenamed("ord", "node"), ["page_idx", "node"])
     boxes = reached.groupBy("page_idx", "seed").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "raster_image").alias("atoms"))
-    return c.closure_scores(boxes.withColumn("seed_score", F.lit(0.1)), WIDTH * HEIGHT)
+    return c.closure_scores(boxes.withColumns({"seed_score": F.lit(0.7), "evidence": F.when(F.col("atoms") > 1, "image_cluster").otherwise("visual_community")}), WIDTH * HEIGHT)
 
 
 @query()

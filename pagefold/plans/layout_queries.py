@@ -224,8 +224,10 @@ def _gap_between(lo: str, hi: str) -> str:
 
 
 _OX, _OY = "(least(a.x1, b.x1) - greatest(a.x0, b.x0))", "(least(a.y1, b.y1) - greatest(a.y0, b.y0))"
-_SIDE = f"""CASE WHEN {_OX} > 0 AND {_OX} / greatest(a.x1 - a.x0, 1.0) >= 0.5 AND b.y0 - a.y1 BETWEEN 0 AND 40 THEN 'bottom' WHEN {_OX} > 0 AND {_OX} / greatest(a.x1 - a.x0, 1.0) >= 0.5 AND a.y0 - b.y1 BETWEEN 0 AND 40 THEN 'top'
- WHEN {_OY} > 0 AND {_OY} / greatest(a.y1 - a.y0, 1.0) >= 0.5 AND b.x0 - a.x1 BETWEEN 0 AND 40 THEN 'right' WHEN {_OY} > 0 AND {_OY} / greatest(a.y1 - a.y0, 1.0) >= 0.5 AND a.x0 - b.x1 BETWEEN 0 AND 40 THEN 'left' END"""
+_WIDE, _TALL = f"{_OX} > 0 AND {_OX} / greatest(a.x1 - a.x0, 1.0) >= 0.5", f"{_OY} > 0 AND {_OY} / greatest(a.y1 - a.y0, 1.0) >= 0.5"
+_FITS = "b.x1 - b.x0 <= 2.5 * greatest(a.x1 - a.x0, 1.0) AND b.y1 - b.y0 <= {} * greatest(a.y1 - a.y0, 1.0)"
+_SIDE = f"""CASE WHEN {_WIDE} AND b.y0 - a.y1 BETWEEN 0 AND 40 THEN CASE WHEN {_FITS.format(1.5)} THEN 'bottom' END WHEN {_WIDE} AND a.y0 - b.y1 BETWEEN 0 AND 40 THEN CASE WHEN {_FITS.format(1.5)} THEN 'top' END
+ WHEN {_TALL} AND b.x0 - a.x1 BETWEEN 0 AND 40 THEN CASE WHEN {_FITS.format(1.75)} THEN 'right' END WHEN {_TALL} AND a.x0 - b.x1 BETWEEN 0 AND 40 THEN CASE WHEN {_FITS.format(1.75)} THEN 'left' END END"""
 _GRAPH = f"""{WITH_ATOMS}, panels AS (SELECT * FROM atoms WHERE kind IN ('panel_border', 'raster_image')), caps AS (SELECT * FROM atoms WHERE kind = 'text_block' AND text LIKE 'Figure %'),
  plain AS (SELECT a.* FROM atoms a WHERE NOT EXISTS (SELECT 1 FROM caps c WHERE c.page_idx = a.page_idx AND c.ord = a.ord)),
  holds AS (SELECT a.page_idx, a.ord AS source, b.ord AS target FROM panels a JOIN plain b ON a.page_idx = b.page_idx AND a.ord <> b.ord WHERE b.x0 >= a.x0 - 2 AND b.y0 >= a.y0 - 2 AND b.x1 <= a.x1 + 2 AND b.y1 <= a.y1 + 2),
@@ -251,13 +253,13 @@ def page_graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_GRAPH[5:]}, steps AS (SELECT DISTINCT page_idx, source, target FROM edges e WHERE relation <> 'near_body_text' AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.relation = 'near_body_text' AND r.page_idx = e.page_idx AND r.source = e.source AND r.target = e.target)),
+    f"""WITH RECURSIVE {_GRAPH[5:]}, steps AS MATERIALIZED (SELECT page_idx, source, target, bool_or(relation <> 'caption_of') AS content FROM edges e WHERE relation <> 'near_body_text' AND NOT EXISTS (SELECT 1 FROM edges r WHERE r.relation = 'near_body_text' AND r.page_idx = e.page_idx AND r.source = e.source AND r.target = e.target) GROUP BY 1, 2, 3),
  walk AS (SELECT s.page_idx, p.ord AS seed, s.target AS node FROM panels p JOIN steps s ON s.page_idx = p.page_idx AND s.source = p.ord UNION SELECT w.page_idx, w.seed, s.target FROM walk w JOIN steps s ON s.page_idx = w.page_idx AND s.source = w.node)
- SELECT page_idx, seed, node FROM walk"""
+ SELECT w.page_idx, w.seed, w.node, bool_or(s.content) AS content FROM walk w JOIN steps s ON s.page_idx = w.page_idx AND s.target = w.node AND (s.source = w.seed OR EXISTS (SELECT 1 FROM walk x WHERE x.page_idx = w.page_idx AND x.seed = w.seed AND x.node = s.source)) GROUP BY 1, 2, 3"""
 )
 def graph_closure(spark: SparkSession, d: str) -> DataFrame:
     seeds = atoms(spark, d).where(F.col("kind").isin("panel_border", "raster_image")).select("page_idx", "ord")
-    return pagegraph.closure(seeds, pagegraph.bipolar(_graph(spark, d))).drop("depth")
+    return pagegraph.closure(seeds, pagegraph.bipolar(_graph(spark, d)))
 
 
 _CLUSTERS = f"""WITH RECURSIVE {WITH_ATOMS[5:]}, v AS (SELECT * FROM atoms WHERE kind IN ('raster_image', 'vector_cluster')),

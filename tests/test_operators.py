@@ -167,9 +167,10 @@ def test_clusters_join_over_gaps(spark):
 
 
 def test_closure_follows_direction_and_repulsion(spark):
-    edges = spark.createDataFrame([(1, 1, 2, "attract"), (1, 2, 3, "attract"), (1, 3, 1, "attract"), (1, 1, 4, "attract"), (1, 1, 4, "repel"), (1, 5, 1, "attract")], "page_idx int, source int, target int, polarity string")
-    got = {(r["seed"], r["node"]) for r in pagegraph.closure(spark.createDataFrame([(1, 1), (1, 5), (1, 4)], "page_idx int, ord int"), edges).collect()}
-    assert got == {(1, 2), (1, 3), (1, 1), (5, 1), (5, 2), (5, 3)}
+    rows = [(1, 1, 2, "attract", "contains"), (1, 2, 3, "attract", "caption_of"), (1, 3, 1, "attract", "same_row"), (1, 1, 4, "attract", "contains"), (1, 1, 4, "repel", "near_body_text"), (1, 5, 1, "attract", "contains"), (1, 6, 7, "attract", "caption_of"), (1, 6, 8, "attract", "contains"), (1, 8, 7, "attract", "contains")]
+    edges = spark.createDataFrame(rows, "page_idx int, source int, target int, polarity string, relation string")
+    got = {(r["seed"], r["node"]): r["content"] for r in pagegraph.closure(spark.createDataFrame([(1, s) for s in (1, 5, 4, 6)], "page_idx int, ord int"), edges).collect()}
+    assert got == {(1, 2): True, (1, 3): False, (1, 1): True, (5, 1): True, (5, 2): True, (5, 3): False, (6, 7): True, (6, 8): True}
 
 
 def test_arbitration_prefers_eligible_and_breaks_ties_by_name(spark):
