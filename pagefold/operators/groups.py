@@ -9,6 +9,8 @@ from pagefold.functions.geometry import cover_of_smaller, gap, iou
 from pagefold.operators.boxjoin import box_join, self_pairs
 from pagefold.operators.components import connected_components
 from pagefold.operators.pagegraph import text_barriers
+from pagefold.plans.partitioning import ordered_positions
+from pagefold.plans.shared import checkpointed
 
 
 def page_clusters(boxes: DataFrame, max_gap: float, texts: DataFrame | None = None) -> DataFrame:
@@ -47,10 +49,7 @@ def suppress(boxes: DataFrame, order: list[Column], max_iou: float = 0.8, max_co
     rounds then settle boxes whose better rivals are all settled: without a kept rival a box stays, with one it goes.
     This is the sequential result, found without gathering a page. ``order`` must end in a unique key.
     """
-    from pagefold.plans.shared import checkpointed
-
-    place = F.row_number().over(Window.partitionBy("page_idx").orderBy(*order))
-    ranked = checkpointed(boxes.withColumn("_rank", place))
+    ranked = checkpointed(ordered_positions(boxes, "page_idx", order).withColumnRenamed("group_pos", "_rank"))
     slim = ranked.select("page_idx", "ord", "_rank", "x0", "y0", "x1", "y1")
     rivals = box_join(slim, slim, where=(F.col("a__rank") < F.col("b__rank")) & ((iou("a_", "b_") > max_iou) | (cover_of_smaller("a_", "b_") > max_cover)))
     rivals = checkpointed(rivals.select("page_idx", F.col("a_ord").alias("better"), F.col("b_ord").alias("worse")))
@@ -71,9 +70,10 @@ def suppress(boxes: DataFrame, order: list[Column], max_iou: float = 0.8, max_co
     return ranked.join(gone.withColumn("_gone", F.lit(True)), ["page_idx", "ord"], "left").withColumn("kept", F.col("_gone").isNull()).drop("_rank", "_gone")
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is first by the columns of ``order``, ascending; combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
 def arbitrate(proposals: DataFrame, key: list[str]) -> DataFrame:

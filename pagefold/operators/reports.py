@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.plans.partitioning import ordered_positions
+
 
 def timing(samples: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, total, interpolated p50 and p95, greatest and least per key."""
@@ -23,11 +25,19 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("delta", F.col("after") - F.col("before")).withColumn("change", F.when(~had & has, "gained").when(had & ~has, "lost").when(had, "kept").otherwise("unchanged"))
 
 
+def cluster_key() -> Column:
+    return F.concat(F.col("family"), F.lit("|"), F.col("difficulty"), F.lit("|gt="), F.col("gt_count").cast("string"), F.lit("|pred="), F.col("prediction_count").cast("string"))
+
+
 def cluster_errors(results: DataFrame) -> DataFrame:
-    """Pages grouped by labels and counts: cluster key, size, and the page ids in order."""
-    key = F.concat(F.col("family"), F.lit("|"), F.col("difficulty"), F.lit("|gt="), F.col("gt_count").cast("string"), F.lit("|pred="), F.col("prediction_count").cast("string"))
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("page_idx")), lambda x: x.cast("string")), ",")
-    return results.groupBy(key.alias("cluster_key")).agg(F.count(F.lit(1)).alias("page_count"), F.max("gt_count").alias("gt_count"), ids.alias("page_ids"))
+    """Pages grouped by labels and counts: cluster key, size, first and last page."""
+    return results.groupBy(cluster_key().alias("cluster_key")).agg(F.count(F.lit(1)).alias("page_count"), F.max("gt_count").alias("gt_count"), F.min("page_idx").alias("first_page"), F.max("page_idx").alias("last_page"))
+
+
+def cluster_members(results: DataFrame) -> DataFrame:
+    """The pages of each cluster, numbered from 1 in their order; a cluster is a run of rows, never one value."""
+    keyed = results.select("page_idx", cluster_key().alias("cluster_key"))
+    return ordered_positions(keyed, "cluster_key", [F.col("page_idx").asc()]).select("cluster_key", "page_idx", (F.col("group_pos") + 1).alias("nth"))
 
 
 def overview(pages: DataFrame, document: str) -> DataFrame:

@@ -310,7 +310,7 @@ def strip_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH_ATOMS} SELECT page_idx, kind, ord, xref FROM (SELECT *, row_number() OVER (PARTITION BY page_idx, kind ORDER BY xref, ord) AS n FROM atoms) WHERE n = 1")
 def first_per_kind(spark: SparkSession, d: str) -> DataFrame:
-    return groups.first_of(atoms(spark, d), ["page_idx", "kind"], [F.col("xref"), F.col("ord")]).select("page_idx", "kind", "ord", "xref")
+    return groups.first_of(atoms(spark, d), ["page_idx", "kind"], ["xref", "ord"]).select("page_idx", "kind", "ord", "xref")
 
 
 @query(f"{WITH_ATOMS} SELECT xref, count(DISTINCT page_idx) AS pages, count(*) AS uses FROM atoms WHERE kind = 'raster_image' GROUP BY 1")
@@ -367,16 +367,23 @@ def run_comparison(spark: SparkSession, d: str) -> DataFrame:
     return compare_runs(count(atoms(spark, d), ["raster_image"]), count(predictions(spark, d), ["raster_image", "panel_border"]))
 
 
-@query(
-    f"""{_PAGES_RESULT} SELECT family || '|' || difficulty || '|gt=' || gt_count || '|pred=' || prediction_count AS cluster_key, count(*) AS page_count, max(gt_count) AS gt_count, string_agg(CAST(page_idx AS VARCHAR), ',' ORDER BY page_idx) AS page_ids
- FROM res WHERE match_count < gt_count GROUP BY 1"""
-)
+_KEY = "family || '|' || difficulty || '|gt=' || gt_count || '|pred=' || prediction_count"
+
+
+@query(f"{_PAGES_RESULT} SELECT {_KEY} AS cluster_key, count(*) AS page_count, max(gt_count) AS gt_count, min(page_idx) AS first_page, max(page_idx) AS last_page FROM res WHERE match_count < gt_count GROUP BY 1")
 def error_clusters(spark: SparkSession, d: str) -> DataFrame:
     from pagefold.operators.reports import cluster_errors
 
     return cluster_errors(_results(spark, d).where("match_count < gt_count"))
 
 
+@query(f"{_PAGES_RESULT} SELECT {_KEY} AS cluster_key, page_idx, row_number() OVER (PARTITION BY {_KEY} ORDER BY page_idx) AS nth FROM res WHERE match_count < gt_count")
+def error_cluster_pages(spark: SparkSession, d: str) -> DataFrame:
+    from pagefold.operators.reports import cluster_members
+
+    return cluster_members(_results(spark, d).where("match_count < gt_count"))
+
+
 @query(f"{WITH_ATOMS} SELECT page_idx, string_agg(CASE WHEN kind = 'raster_image' THEN '![](' || xref || '.png)' ELSE text END, E'\\n\\n' ORDER BY ord) AS markdown FROM atoms WHERE kind = 'raster_image' OR text <> '' GROUP BY 1")
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     from pagefold.operators.repair import fold_markdown
