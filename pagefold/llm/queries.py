@@ -60,13 +60,14 @@ WHERE have < need"""
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """Rows of ``page_index`` with the entity they belong to: the paper, or the page or row itself where none is named."""
-    alone = F.concat(F.lit("\x1f"), F.coalesce("page_id", F.concat(F.lit("row "), F.col("row_no").cast("string"))))
-    return table(spark, d, "page_index").select("row_no", "page_id", "doc_id", F.coalesce(paper("doc_id"), alone).alias("entity"))
+    page = F.when(F.btrim("page_id") != "", F.col("page_id"))
+    alone = F.concat(F.lit("\x1f"), F.coalesce(page, F.concat(F.lit("row "), F.col("row_no").cast("string"))))
+    return table(spark, d, "page_index").select("row_no", "page_id", "doc_id", page.alias("page"), F.coalesce(paper("doc_id"), alone).alias("entity"))
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
     shares = {r["split_name"]: r["target_share"] for r in table(spark, d, "split_targets").limit(1000).collect()}
-    return update_components(_entities(spark, d), "entity", "page_id", shares).nodes
+    return update_components(_entities(spark, d), "entity", "page", shares).nodes
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
