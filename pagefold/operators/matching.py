@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagefold.functions.geometry import area, cover_of_first, inter_area, iou, side_errors
@@ -43,7 +43,13 @@ def page_counts(spine: DataFrame, truth: DataFrame, found: DataFrame, matches: D
     m = matches.groupBy("page_idx").agg(F.count(F.lit(1)).alias("match_count"), F.sum(F.round("iou", 4).cast("decimal(12,4)")).alias("_iou"))
     out = spine.join(one(truth, "gt_count"), "page_idx", "left").join(one(found, "prediction_count"), "page_idx", "left").join(m, "page_idx", "left")
     out = out.na.fill(0, ["gt_count", "prediction_count", "match_count"])
-    return out.withColumns(rates()).withColumn("iou", F.when(F.col("match_count") > 0, F.round(F.col("_iou").cast("double") / F.col("match_count"), 4)).otherwise(F.lit(0.0))).drop("_iou")
+    return out.withColumns(rates()).withColumn("iou", _mean4("_iou", "match_count")).drop("_iou")
+
+
+def _mean4(total: str, n: str) -> Column:
+    """An exact decimal total over a count, rounded half up to 4 digits; 0 for a count of 0."""
+    exact = F.coalesce(F.col(total), F.lit(0)).cast("decimal(22,4)") / F.col(n).cast("decimal(12,0)")
+    return F.when(F.col(n) > 0, F.round(exact, 4).cast("double")).otherwise(F.lit(0.0))
 
 
 def rates(gt: str = "gt_count", found: str = "prediction_count", match: str = "match_count") -> dict:
@@ -59,7 +65,7 @@ def micro(results: DataFrame, *keys: str) -> DataFrame:
     weighted = F.sum((F.col("iou").cast("decimal(12,4)") * F.col("match_count")).cast("decimal(30,4)"))
     out = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("page_count"), total("gt_count"), total("prediction_count"), total("match_count"), weighted.alias("_w"))
     out = out.withColumns(rates("total_gt_count", "total_prediction_count", "total_match_count"))
-    return out.withColumn("iou", F.when(F.col("total_match_count") > 0, F.round(F.col("_w").cast("double") / F.col("total_match_count"), 4)).otherwise(F.lit(0.0))).drop("_w")
+    return out.withColumn("iou", _mean4("_w", "total_match_count")).drop("_w")
 
 
 def grouped_micro(results: DataFrame, *keys: str) -> DataFrame:
@@ -70,7 +76,7 @@ def grouped_micro(results: DataFrame, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("page_count"), *[F.sum(c).alias(f"total_{c}") for c in ("gt_count", "prediction_count", "match_count")], F.sum(weighted).alias("_w")
     )
     out = out.withColumns(rates("total_gt_count", "total_prediction_count", "total_match_count"))
-    return out.withColumn("iou", F.when(F.col("total_match_count") > 0, F.round(F.col("_w").cast("double") / F.col("total_match_count"), 4)).otherwise(F.lit(0.0))).drop("_w")
+    return out.withColumn("iou", _mean4("_w", "total_match_count")).drop("_w")
 
 
 def strict_rows(truth: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:
@@ -125,8 +131,7 @@ def structure(truth: DataFrame, found: DataFrame, spine: DataFrame) -> DataFrame
     complete = best.groupBy("page_idx").agg(F.sum(F.when(F.col("b.want") == 0, F.lit(1.0)).otherwise(F.round(F.least("b.want", "b.have") / F.col("b.want"), 4)).cast("decimal(12,4)")).alias("_parts"))
     pred = found.groupBy("page_idx").agg(F.count(F.lit(1)).alias("prediction_count"), F.sum((F.size("group_ids") > 1).cast("int")).alias("_merged"), F.sum(F.when(area("") > 0, F.round(F.col("excluded") / area(""), 4)).otherwise(F.lit(0.0)).cast("decimal(14,4)")).alias("_dirty"))
     out = spine.select("page_idx").join(rows, "page_idx", "left").join(groups, "page_idx", "left").join(complete, "page_idx", "left").join(pred, "page_idx", "left").na.fill(0)
-    per = lambda n, d: F.when(F.col(d) > 0, F.round(F.coalesce(F.col(n), F.lit(0)).cast("double") / F.col(d), 4)).otherwise(F.lit(0.0))
-    return out.select("page_idx", "gt_count", "prediction_count", per("_extra", "gt_count").alias("fragmentation"), per("_once", "gt_count").alias("fragmentation_distinct"), per("_merged", "prediction_count").alias("overmerge"), per("_dirty", "prediction_count").alias("contamination"), per("_parts", "gt_count").alias("completeness"))
+    return out.select("page_idx", "gt_count", "prediction_count", _mean4("_extra", "gt_count").alias("fragmentation"), _mean4("_once", "gt_count").alias("fragmentation_distinct"), _mean4("_merged", "prediction_count").alias("overmerge"), _mean4("_dirty", "prediction_count").alias("contamination"), _mean4("_parts", "gt_count").alias("completeness"))
 
 
 def intersections(pairs: DataFrame) -> DataFrame:

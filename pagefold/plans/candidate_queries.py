@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefold.operators import candidates as c
 from pagefold.operators import groups
 from pagefold.operators.layout import line_spacing, typography
-from pagefold.plans.layout_queries import WITH_ATOMS, area_sql, gap_sql, inter_sql
+from pagefold.plans.layout_queries import WITH_ATOMS, area_sql, gap_sql, inter_sql, round_sql
 from pagefold.sources.layouts import HEIGHT, WIDTH, atoms
 
 QUERIES: dict = {}
@@ -76,7 +76,7 @@ _PROPOSALS = f"""{WITH_ATOMS}, sup AS MATERIALIZED (SELECT page_idx, ord, x0 - 2
  UNION ALL SELECT s.page_idx, s.ord, x0, y0, x1, y1, 'visual_atom_union', u_x0, u_y0, u_x1, u_y1, 0.05 FROM sup s JOIN per USING (page_idx, ord) WHERE v > 0 UNION ALL SELECT s.page_idx, s.ord, x0, y0, x1, y1, 'single_raster_core', c_x0, c_y0, c_x1, c_y1, 0.12 FROM sup s JOIN per USING (page_idx, ord) WHERE r = 1),
  sums AS (SELECT p.page_idx, p.ord, strategy, x0, y0, x1, y1, s_x0, s_y0, s_x1, s_y1, bonus, coalesce(sum({area_sql('m_')}) FILTER (h.kind <> 'text_block'), 0.0) AS va, coalesce(sum({area_sql('m_')}) FILTER (h.kind = 'text_block'), 0.0) AS ta, coalesce(sum({inter_sql('', 'm_')}) FILTER (h.kind <> 'text_block'), 0.0) AS vi, coalesce(sum({inter_sql('', 'm_')}) FILTER (h.kind = 'text_block'), 0.0) AS ti FROM prop p LEFT JOIN held h ON h.page_idx = p.page_idx AND h.ord = p.ord GROUP BY ALL),
  parts AS (SELECT *, CASE WHEN va > 0 THEN vi / va ELSE 1.0 END AS keep, CASE WHEN ta > 0 THEN ti / ta ELSE 0.0 END AS txt, greatest(1 - {area_sql('')} / {area_sql('s_')}, 0.0) AS compact FROM sums)
- SELECT page_idx, ord, strategy, x0, y0, x1, y1, round(least(1.0, greatest(0.0, CAST(0.7 AS DOUBLE) * keep + CAST(0.2 AS DOUBLE) * (1 - txt) + CAST(0.1 AS DOUBLE) * compact - greatest(CAST(0.95 AS DOUBLE) - keep, 0.0) * 2 + CAST(bonus AS DOUBLE))), 4) AS score FROM parts"""
+ SELECT page_idx, ord, strategy, x0, y0, x1, y1, {round_sql('least(1.0, greatest(0.0, CAST(0.7 AS DOUBLE) * keep + CAST(0.2 AS DOUBLE) * (1 - txt) + CAST(0.1 AS DOUBLE) * compact - greatest(CAST(0.95 AS DOUBLE) - keep, 0.0) * 2 + CAST(bonus AS DOUBLE)))')} AS score FROM parts"""
 
 
 def _proposals(spark: SparkSession, d: str) -> DataFrame:

@@ -77,10 +77,10 @@ def dataset_recount(spark: SparkSession, d: str) -> DataFrame:
     return recount(current_pages(table(spark, d, "page_index")))
 
 
-@query(f"SELECT coalesce(family, 'unknown') AS family, coalesce(level, 'unknown') AS level, count(*) AS pages, count(score) AS scored, round(avg(score), 6) AS mean_score FROM {CURRENT} GROUP BY GROUPING SETS ((1, 2), ())")
+@query(f"SELECT coalesce(family, 'unknown') AS family, coalesce(level, 'unknown') AS level, count(*) AS pages, count(score) AS scored, sum(CAST(score AS DECIMAL(18,8))) AS total_score FROM {CURRENT} GROUP BY GROUPING SETS ((1, 2), ())")
 def label_counts(spark: SparkSession, d: str) -> DataFrame:
     named = current_pages(table(spark, d, "page_index")).withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("family", "level")})
-    return named.groupingSets([["family", "level"], []], "family", "level").agg(F.count(F.lit(1)).alias("pages"), F.count("score").alias("scored"), F.round(F.avg(F.col("score").cast("double")), 6).alias("mean_score"))
+    return named.groupingSets([["family", "level"], []], "family", "level").agg(F.count(F.lit(1)).alias("pages"), F.count("score").alias("scored"), F.sum(F.col("score").cast("decimal(18,8)")).alias("total_score"))
 
 
 _STEM = "regexp_extract(file_path, '([^/]+)\\.json$', 1)"

@@ -49,6 +49,11 @@ def gap_sql(a: str, b: str) -> str:
     return f"sqrt({dx} * {dx} + {dy} * {dy})"
 
 
+def round_sql(e: str, digits: int = 4) -> str:
+    """Rounding half up of the number as it is written, which is what Spark's ``round`` does."""
+    return f"CAST(round(CAST(CAST({e} AS VARCHAR) AS DECIMAL(30,18)), {digits}) AS DOUBLE)"
+
+
 WITH_ATOMS = f"WITH atoms AS MATERIALIZED ({ATOMS_SQL}), preds AS MATERIALIZED ({PREDICTIONS_SQL}), pages AS MATERIALIZED ({PAGES_SQL})"
 
 
@@ -78,15 +83,16 @@ def box_scalars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Ratios in whole millionths: engines round ties of binary fractions differently.
 @query(
-    f"""{WITH_ATOMS} SELECT a.page_idx, a.ord AS a_ord, b.ord AS b_ord, {inter_sql('a.', 'b.')} AS inter_area, round({iou_sql('a.', 'b.')}, 6) AS iou,
- round({cover_sql('a.', 'b.', area_sql('a.'))}, 6) AS cover_of_first, round({cover_sql('a.', 'b.', f"least({area_sql('a.')}, {area_sql('b.')})")}, 6) AS cover_of_smaller, round({gap_sql('a.', 'b.')}, 6) AS gap
+    f"""{WITH_ATOMS} SELECT a.page_idx, a.ord AS a_ord, b.ord AS b_ord, {inter_sql('a.', 'b.')} AS inter_area, floor({iou_sql('a.', 'b.')} * 1000000) AS iou_ppm,
+ floor({cover_sql('a.', 'b.', area_sql('a.'))} * 1000000) AS cover_of_first_ppm, floor({cover_sql('a.', 'b.', f"least({area_sql('a.')}, {area_sql('b.')})")} * 1000000) AS cover_of_smaller_ppm, floor({gap_sql('a.', 'b.')} * 1000000) AS gap_millionths
  FROM atoms a JOIN atoms b ON a.page_idx = b.page_idx AND a.ord < b.ord WHERE {gap_sql('a.', 'b.')} <= 24"""
 )
 def box_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = self_pairs(atoms(spark, d).select(*BOX), reach=24.0, where=g.gap("a_", "b_") <= 24)
-    r = lambda c: F.round(c, 6)
-    return pairs.select("page_idx", "a_ord", "b_ord", g.inter_area("a_", "b_").alias("inter_area"), r(g.iou("a_", "b_")).alias("iou"), r(g.cover_of_first("a_", "b_")).alias("cover_of_first"), r(g.cover_of_smaller("a_", "b_")).alias("cover_of_smaller"), r(g.gap("a_", "b_")).alias("gap"))
+    ppm = lambda c: F.floor(c * 1000000).cast("double")
+    return pairs.select("page_idx", "a_ord", "b_ord", g.inter_area("a_", "b_").alias("inter_area"), ppm(g.iou("a_", "b_")).alias("iou_ppm"), ppm(g.cover_of_first("a_", "b_")).alias("cover_of_first_ppm"), ppm(g.cover_of_smaller("a_", "b_")).alias("cover_of_smaller_ppm"), ppm(g.gap("a_", "b_")).alias("gap_millionths"))
 
 
 # Greedy matching as four unrolled rounds of mutual best choice; a test asserts that no pair is left after them.
@@ -102,10 +108,10 @@ def _match_sql(rounds: int = 4) -> str:
 
 _F1 = "CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END"
 _PAGES_RESULT = f"""{WITH_ATOMS}, {_match_sql()}, ct AS (SELECT page_idx, count(*) AS n FROM atoms GROUP BY 1), cp AS (SELECT page_idx, count(*) AS n FROM preds GROUP BY 1),
- cm AS (SELECT page_idx, count(*) AS n, sum(CAST(round(iou, 4) AS DECIMAL(12,4))) AS s FROM matches GROUP BY 1),
+ cm AS (SELECT page_idx, count(*) AS n, sum(CAST({round_sql('iou')} AS DECIMAL(12,4))) AS s FROM matches GROUP BY 1),
  res0 AS (SELECT s.*, coalesce(ct.n, 0) AS gt_count, coalesce(cp.n, 0) AS prediction_count, coalesce(cm.n, 0) AS match_count, CAST(cm.s * 10000 AS BIGINT) AS si FROM pages s LEFT JOIN ct USING (page_idx) LEFT JOIN cp USING (page_idx) LEFT JOIN cm USING (page_idx)),
  res1 AS (SELECT *, CASE WHEN prediction_count > 0 THEN match_count / prediction_count ELSE 0.0 END AS p, CASE WHEN gt_count > 0 THEN match_count / gt_count ELSE 0.0 END AS r FROM res0),
- res AS (SELECT page_idx, doc_id, family, difficulty, gt_count, prediction_count, match_count, round(p, 4) AS precision, round(r, 4) AS recall, round({_F1}, 4) AS f1, CASE WHEN match_count > 0 THEN ((2 * si + match_count) // (2 * match_count)) / 10000 ELSE 0.0 END AS iou FROM res1)"""
+ res AS (SELECT page_idx, doc_id, family, difficulty, gt_count, prediction_count, match_count, {round_sql('p')} AS precision, {round_sql('r')} AS recall, {round_sql('(' + _F1 + ')')} AS f1, CASE WHEN match_count > 0 THEN ((2 * si + match_count) // (2 * match_count)) / 10000 ELSE 0.0 END AS iou FROM res1)"""
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +125,7 @@ def page_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _micro_sql(keys: str, group: str) -> str:
-    return f"""SELECT {keys}page_count, total_gt_count, total_prediction_count, total_match_count, round(p, 4) AS precision, round(r, 4) AS recall, round({_F1}, 4) AS f1, CASE WHEN total_match_count > 0 THEN ((2 * CAST(w * 10000 AS BIGINT) + total_match_count) // (2 * total_match_count)) / 10000 ELSE 0.0 END AS iou FROM (
+    return f"""SELECT {keys}page_count, total_gt_count, total_prediction_count, total_match_count, {round_sql('p')} AS precision, {round_sql('r')} AS recall, {round_sql('(' + _F1 + ')')} AS f1, CASE WHEN total_match_count > 0 THEN ((2 * CAST(w * 10000 AS BIGINT) + total_match_count) // (2 * total_match_count)) / 10000 ELSE 0.0 END AS iou FROM (
  SELECT *, CASE WHEN total_prediction_count > 0 THEN total_match_count / total_prediction_count ELSE 0.0 END AS p, CASE WHEN total_gt_count > 0 THEN total_match_count / total_gt_count ELSE 0.0 END AS r FROM (
  SELECT {keys}count(*) AS page_count, coalesce(sum(gt_count), 0) AS total_gt_count, coalesce(sum(prediction_count), 0) AS total_prediction_count, coalesce(sum(match_count), 0) AS total_match_count, sum(CAST(iou AS DECIMAL(12,4)) * match_count) AS w FROM res {group}))"""
 
@@ -143,7 +149,7 @@ _STRICT = f"""{WITH_ATOMS}, {_match_sql()},
  near AS MATERIALIZED (SELECT * FROM (SELECT p.page_idx, p.ord AS pred, t.x0 AS g_x0, t.y0 AS g_y0, t.x1 AS g_x1, t.y1 AS g_y1, row_number() OVER (PARTITION BY p.page_idx, p.ord ORDER BY {iou_sql('p.', 't.')} DESC, t.ord) AS n FROM lone p JOIN atoms t USING (page_idx) WHERE {inter_sql('p.', 't.')} > 0) WHERE n = 1),
  fps AS (SELECT p.page_idx, 'FP' AS status, CAST(NULL AS INTEGER) AS gt, p.ord AS pred, p.x0 AS p_x0, p.y0 AS p_y0, p.x1 AS p_x1, p.y1 AS p_y1, coalesce(n.g_x0, 0.0) AS g_x0, coalesce(n.g_y0, 0.0) AS g_y0, coalesce(n.g_x1, 0.0) AS g_x1, coalesce(n.g_y1, 0.0) AS g_y1 FROM lone p LEFT JOIN near n ON n.page_idx = p.page_idx AND n.pred = p.ord),
  measured AS (SELECT *, {iou_sql('p_', 'g_')} AS iou, {cover_sql('p_', 'g_', area_sql('p_'))} AS purity, {cover_sql('g_', 'p_', area_sql('g_'))} AS coverage, CASE WHEN {area_sql('g_')} > 0 THEN {area_sql('p_')} / {area_sql('g_')} ELSE 0.0 END AS area_ratio, greatest(g_x1 - g_x0, 1.0) AS gw, greatest(g_y1 - g_y0, 1.0) AS gh FROM (SELECT * FROM hit UNION ALL SELECT * FROM fps)),
- strict AS (SELECT page_idx, status, gt, pred, round(iou, 4) AS iou, round(purity, 4) AS purity, round(coverage, 4) AS coverage, round(area_ratio, 4) AS area_ratio, concat_ws('|', {', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _FLAG_TESTS)}) AS flags FROM measured
+ strict AS (SELECT page_idx, status, gt, pred, {round_sql('iou')} AS iou, {round_sql('purity')} AS purity, {round_sql('coverage')} AS coverage, {round_sql('area_ratio')} AS area_ratio, concat_ws('|', {', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _FLAG_TESTS)}) AS flags FROM measured
  UNION ALL SELECT t.page_idx, 'MISS', t.ord, NULL, 0.0, 0.0, 0.0, 0.0, 'miss' FROM atoms t WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.page_idx = t.page_idx AND m.gt = t.ord))"""
 
 
@@ -173,9 +179,9 @@ _STRUCT_F = "SELECT p.page_idx, p.ord, CASE WHEN a.xref % 5 = 0 THEN [CAST(a.xre
  o AS (SELECT page_idx, sum(greatest(coalesce(n, 0) - 1, 0)) AS once FROM (SELECT DISTINCT page_idx, group_id FROM t) LEFT JOIN firsts USING (page_idx, group_id) GROUP BY 1),
  best AS (SELECT * FROM (SELECT t.page_idx, t.ord, t.panels AS want, h.panels AS have, row_number() OVER (PARTITION BY t.page_idx, t.ord ORDER BY {iou_sql('t.', 'h.')} DESC, h.ord) AS n FROM t JOIN held h USING (page_idx, group_id)) WHERE n = 1),
  c AS (SELECT page_idx, sum(CAST(CASE WHEN want = 0 THEN 1.0 ELSE round(least(want, have) / want, 4) END AS DECIMAL(12,4))) AS parts FROM best GROUP BY 1),
- q AS (SELECT page_idx, count(*) AS prediction_count, sum(CAST(len(group_ids) > 1 AS INT)) AS merged, sum(CAST(CASE WHEN {area_sql('')} > 0 THEN round(excluded / {area_sql('')}, 4) ELSE 0.0 END AS DECIMAL(14,4))) AS dirty FROM f GROUP BY 1)
- SELECT s.page_idx, coalesce(gt_count, 0) AS gt_count, coalesce(prediction_count, 0) AS prediction_count, CASE WHEN gt_count > 0 THEN round(extra / gt_count, 4) ELSE 0.0 END AS fragmentation, CASE WHEN gt_count > 0 THEN round(once / gt_count, 4) ELSE 0.0 END AS fragmentation_distinct,
- CASE WHEN prediction_count > 0 THEN round(merged / prediction_count, 4) ELSE 0.0 END AS overmerge, CASE WHEN prediction_count > 0 THEN ((2 * CAST(dirty * 10000 AS BIGINT) + prediction_count) // (2 * prediction_count)) / 10000 ELSE 0.0 END AS contamination, CASE WHEN gt_count > 0 THEN ((2 * CAST(coalesce(parts, 0) * 10000 AS BIGINT) + gt_count) // (2 * gt_count)) / 10000 ELSE 0.0 END AS completeness
+ q AS (SELECT page_idx, count(*) AS prediction_count, sum(CAST(len(group_ids) > 1 AS INT)) AS merged, sum(CAST(CASE WHEN {area_sql('')} > 0 THEN {round_sql('excluded / ' + area_sql(''))} ELSE 0.0 END AS DECIMAL(14,4))) AS dirty FROM f GROUP BY 1)
+ SELECT s.page_idx, coalesce(gt_count, 0) AS gt_count, coalesce(prediction_count, 0) AS prediction_count, CASE WHEN gt_count > 0 THEN {round_sql('extra / gt_count')} ELSE 0.0 END AS fragmentation, CASE WHEN gt_count > 0 THEN {round_sql('once / gt_count')} ELSE 0.0 END AS fragmentation_distinct,
+ CASE WHEN prediction_count > 0 THEN {round_sql('merged / prediction_count')} ELSE 0.0 END AS overmerge, CASE WHEN prediction_count > 0 THEN ((2 * CAST(dirty * 10000 AS BIGINT) + prediction_count) // (2 * prediction_count)) / 10000 ELSE 0.0 END AS contamination, CASE WHEN gt_count > 0 THEN ((2 * CAST(coalesce(parts, 0) * 10000 AS BIGINT) + gt_count) // (2 * gt_count)) / 10000 ELSE 0.0 END AS completeness
  FROM pages s LEFT JOIN x USING (page_idx) LEFT JOIN o USING (page_idx) LEFT JOIN c USING (page_idx) LEFT JOIN q USING (page_idx)"""
 )
 def page_structure(spark: SparkSession, d: str) -> DataFrame:
