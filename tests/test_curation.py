@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagefold.operators import drift
-from pagefold.operators.orphans import parent_intervals, resolve_references
+from pagefold.operators.orphans import is_orphan, orphan_report, parent_intervals, resolve_references
 from pagefold.plans import curation_queries as q
 
 DECLARED = {
@@ -114,6 +114,30 @@ def test_references_are_present_late_deleted_or_missing(spark):
     assert resolve_references(refs, parent_intervals(parents.limit(0), "k", "b", "e"), "k", "at", "id").where(F.col("verdict") == "missing").count() == 8
 
 
+def test_references_meet_the_intervals_of_their_own_time(spark):
+    t = lambda d: datetime(2025, 1, d)
+    spans = [("a", t(2), t(4)), ("a", t(8), None), ("a", t(8), None), ("b", t(2), t(6)), ("b", t(3), t(4)), ("b", t(8), t(9)), ("c", None, t(4)), ("d", t(2), t(2)), ("d", t(8), None)]
+    parents = spark.createDataFrame(spans, "k string, b timestamp, e timestamp")
+    asked = [(k, t(d), f"{k}{d}") for k in "abcd" for d in (1, 2, 3, 4, 5, 8, 9)] + [("b", None, "b-"), ("a", None, "a-")]
+    refs = spark.createDataFrame(asked, "k string, at timestamp, id string")
+
+    def want(k, at):
+        own = [(b, e) for key, b, e in spans if key == k]
+        live = any(e is None for _, e in own)
+        if at is None:
+            return "present" if live else "deleted"
+        if any((b is None or b <= at) and (e is None or at < e) for b, e in own):
+            return "present" if live else "lost"
+        return "deleted" if not live else "returned" if any(b is None or b <= at for b, _ in own) else "late"
+
+    resolved = resolve_references(refs, parent_intervals(parents, "k", "b", "e"), "k", "at", "id")
+    got = {r["id"]: r["verdict"] for r in resolved.collect()}
+    assert got == {i: want(k, at) for k, at, i in asked} and (got["a3"], got["a1"], got["a5"], got["b3"], got["b5"], got["b9"]) == ("present", "late", "returned", "lost", "lost", "deleted")
+    assert {r["verdict"] for r in resolved.where(is_orphan()).collect()} == {"lost", "deleted"}
+    counts = orphan_report(resolved.selectExpr("'t' AS ref_table", "'f' AS ref_field", "at", "verdict"), "at").collect()
+    assert all(r["refs"] == r["present"] + r["late"] + r["returned"] + r["lost"] + r["deleted"] + r["missing"] for r in counts)
+
+
 def test_scans_read_only_the_columns_they_need(spark, small):
     from pagefold.sources.tables import current_pages, table
 
