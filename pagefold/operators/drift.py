@@ -165,11 +165,51 @@ def promoted(headers: DataFrame) -> DataFrame:
 SPARK_TYPES = {"integer": "bigint", "number": "double", "string": "string", "boolean": "boolean", "array of 4 numbers": "array<double>", "array of arrays of 4 numbers": "array<array<double>>", "array of figure": "array<variant>", "object": "map<string,string>", "array": "array<string>"}
 
 
+#: A number, and four of them as text: separated by commas or blanks, in brackets or not.
+NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+FOUR = rf"^\s*[\[(]?\s*{NUMBER}(?:(?:\s*[,;]\s*|\s+){NUMBER}){{3}}\s*[\])]?\s*$"
+
+
+def _whole(a: Column) -> Column:
+    return F.when((F.size(a) == 4) & F.forall(a, lambda x: x.isNotNull()), a)
+
+
+def _box(v: Column) -> Column:
+    """A box however it is written: four numbers (or texts of such), nested once more, an object of its sides, text; else null."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    sides = F.array(*[F.try_variant_get(v, f"$.{k}", "double") for k in ("x0", "y0", "x1", "y1")])
+    text = let(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), lambda x: F.when(x.rlike(FOUR), F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)).cast("array<double>")))
+    return F.coalesce(_whole(F.try_variant_get(v, "$", "array<double>")), F.when(F.size(items) == 1, _whole(F.try_variant_get(v, "$[0]", "array<double>"))), _whole(sides), text)
+
+
+def _boxes(v: Column) -> Column:
+    """Boxes however they are written: a list of what ``_box`` reads, flat numbers, one box, an object of boxes (in order of the number in their names), JSON text of these; else null."""
+    whole = lambda b: F.when((F.size(b) > 0) & F.forall(b, lambda x: x.isNotNull()), b)
+    every = lambda items: let(F.transform(items, _box), whole)
+    number = lambda k: F.coalesce(F.regexp_extract(k, "([0-9]{1,9})[^0-9]*$", 1).try_cast("int"), F.lit(0))
+
+    def read(v: Column) -> Column:
+        numbers = let(F.try_variant_get(v, "$", "array<double>"), whole)
+        flat = let(numbers, lambda a: F.when(F.size(a) % 4 == 0, F.transform(F.sequence(F.lit(1), F.size(a), F.lit(4)), lambda i: F.slice(a, i, F.lit(4)))))
+        one = let(_box(v), lambda b: F.when(b.isNotNull(), F.array(b)))
+        named = let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: F.transform(F.array_sort(F.transform(F.map_keys(m), lambda k: F.struct(number(k).alias("n"), k.alias("k")))), lambda o: F.try_element_at(m, o["k"])))
+        return F.coalesce(every(F.try_variant_get(v, "$", "array<variant>")), flat, one, every(named))
+
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(read(v), let(F.try_parse_json(text), read))
+
+
+#: How a value of another shape than declared is read all the same, and what an element of its plain cast must be to say something.
+RECOVERED = {"array of 4 numbers": (_box, lambda x: x.isNotNull()), "array of arrays of 4 numbers": (_boxes, lambda x: F.exists(x, lambda y: y.isNotNull()))}
+
+
 def conformed(files: DataFrame, key: str, body: str, declared: dict[str, list[tuple[str, str]]], holder: str, inner: str | None = None) -> DataFrame:
     """One table of the declared columns of ``holder`` over all readable bodies: ``key, at`` and a column per field.
 
-    Each value is cast to the declared type, from its stand-in where the field was renamed; what can't be cast is null.
-    Undeclared fields stay as JSON text in ``rest``. Unreadable bodies give no row.
+    Each value is cast to the declared type, from its stand-in where the field was renamed; boxes are also read from
+    text, objects, flat and nested lists. What can't be cast is null. ``retyped`` has, by declared name, the JSON of
+    every value that is of another kind than declared or that the cast can't hold, recovered or not, so that none is
+    lost; null if there is none. Undeclared fields stay as JSON text in ``rest``. Unreadable bodies give no row.
     """
     read = computed(files.select(key, F.col(body).alias("_b")), _v=readable(F.col("_b"))).where("_v IS NOT NULL")
     if holder == "page":
@@ -179,14 +219,24 @@ def conformed(files: DataFrame, key: str, body: str, declared: dict[str, list[tu
         objects = read.select(key, F.posexplode(parts).alias("at", "_o")).where(F.schema_of_variant("_o").startswith("OBJECT<")).withColumn("at", F.col("at") + 1)
     fields = declared.get(holder, [])
     objects = computed(objects.select(key, "at", "_o"), _h=header(F.col("_o")))
-    objects = computed(objects, _c=F.map_from_entries(F.transform(F.filter(_departures(F.col("_h"), fields), lambda c: c["change_type"] == "renamed"), lambda c: F.struct(c["field_name"], c["found"]))), _m=F.try_variant_get("_o", "$", "map<string,variant>"))
-    values = F.col("_m")
-    columns = []
-    for name, json_type in fields:
-        if json_type == "array of figure":
-            columns.append(F.size(F.try_variant_get("_o", f"$.{name}", SPARK_TYPES[json_type])).alias(f"n_{name}"))
-        else:
-            held = F.get(F.transform(F.array(F.coalesce(F.col("_c")[name], F.lit(name))), lambda k: F.try_element_at(values, k)), F.lit(0))
-            columns.append(F.try_variant_get(held, "$", SPARK_TYPES[json_type]).alias(name))
-    rest = F.filter(F.map_entries(values), lambda e: ~e["key"].isin([n for n, _ in fields]) & ~F.coalesce(F.array_contains(F.map_values("_c"), e["key"]), F.lit(False)))
-    return objects.select(key, "at", *columns, F.to_json(F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"], e["value"].cast("string"))))).alias("rest"))
+    split = lambda d: F.struct(F.map_from_entries(F.transform(F.filter(d, lambda c: c["change_type"] == "renamed"), lambda c: F.struct(c["field_name"], c["found"]))).alias("c"), F.transform(F.filter(d, lambda c: c["change_type"] == "retyped"), lambda c: c["field_name"]).alias("t"))
+    objects = computed(objects, _d=let(_departures(F.col("_h"), fields), split), _m=F.try_variant_get("_o", "$", "map<string,variant>"))
+    values, found = F.col("_m"), F.col("_d")["c"]
+    objects = computed(objects, _held=F.transform(F.array(*[F.coalesce(found[name], F.lit(name)) for name, _ in fields]).cast("array<string>"), lambda k: F.try_element_at(values, k)))
+    columns, raw = {}, []
+    for i, (name, json_type) in enumerate(fields):
+        held, other = F.get("_held", F.lit(i)), F.array_contains(F.col("_d")["t"], name)
+        cast = F.try_variant_get(held, "$", SPARK_TYPES[json_type])
+        if json_type in RECOVERED:
+            again, says = RECOVERED[json_type]
+            some = let(cast, lambda a: F.when(F.exists(a, says), a))  # noqa: B023
+            cast = F.when(other, F.coalesce(let(held, again), some)).otherwise(cast)
+        out = f"n_{name}" if json_type == "array of figure" else name
+        columns[out] = F.size(cast) if json_type == "array of figure" else cast
+        raw.append(F.when(held.isNotNull() & ~F.is_variant_null(held) & (other | F.col(f"`{out}`").isNull()), F.struct(F.lit(name).alias("k"), held.alias("v"))))
+    if columns:
+        objects = computed(objects, **columns)
+    kept = F.array_compact(F.array(*raw).cast("array<struct<k:string,v:variant>>"))
+    retyped = let(kept, lambda a: F.when(F.size(a) > 0, F.to_json(F.map_from_entries(a))))
+    rest = F.filter(F.map_entries(values), lambda e: ~e["key"].isin([n for n, _ in fields]) & ~F.coalesce(F.array_contains(F.map_values(found), e["key"]), F.lit(False)))
+    return objects.select(key, "at", *[F.col(f"`{c}`") for c in columns], retyped.alias("retyped"), F.to_json(F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"], e["value"].cast("string"))))).alias("rest"))

@@ -99,6 +99,23 @@ def test_files_are_cast_to_the_declared_schema(spark):
     assert ("15", 2, [1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0]) in figures
 
 
+def test_values_of_another_shape_are_read_or_kept(spark):
+    b = [1.0, 2.5, 3.0, 4.0]
+    c = [5.0, 6.0, 7.0, 8.0]
+    sides = lambda x: dict(zip(("x0", "y0", "x1", "y1"), x, strict=True))
+    line = lambda x, by: by.join(map(str, x))
+    captions = [(line(b, ","), b), (f" [{line(b, ', ')}] ", b), (line(b, " "), b), (sides(b), b), ([b], b), ([str(x) for x in b], b), ("see page 1, 2, 3, 4", None), ({"x0": 1}, None), (True, None), ([b, c], None)]
+    ten = {f"panel_{i}": [float(i), 2.0, 3.0, 4.0] for i in range(1, 12)}
+    panels = [(b + c, [b, c]), (b, [b]), ([sides(b), sides(c)], [b, c]), ([line(b, " "), line(c, " ")], [b, c]), (json.dumps([b, c]), [b, c]), (line(b, ","), [b]), ([[str(x) for x in b]], [b]), (ten, list(ten.values())), (sides(c), [c]), ("none", None), ([1, 2, 3], None), ([sides(b), "x"], None)]
+    figures = [({"bbox": b, "panel_bboxes": [], "caption_bbox": v}, "caption_bbox", v, w) for v, w in captions] + [({"bbox": b, "panel_bboxes": v, "caption_bbox": None}, "panel_bboxes", v, w) for v, w in panels]
+    files = spark.createDataFrame([("f", json.dumps({"page_idx": 1e30, "page_label": {"a": [1]}, "old_page_id": None, "figures": [f[0] for f in figures]})), ("g", '{"page_idx": 1, "figures": "lost?"}')], "k string, body string")
+    rows = drift.conformed(files, "k", "body", DECLARED, "figure", "figures").orderBy("at").collect()
+    assert [r[name] for r, (_, name, _, _) in zip(rows, figures, strict=True)] == [w for *_, w in figures]
+    assert [json.loads(r["retyped"]) for r in rows] == [{name: v} for _, name, v, _ in figures]
+    f, g = drift.conformed(files, "k", "body", DECLARED, "page", "figures").orderBy("k").collect()
+    assert json.loads(f["retyped"]) == {"page_idx": 1e30, "page_label": {"a": [1]}} and f["n_figures"] == len(figures) and json.loads(g["retyped"]) == {"figures": "lost?"}
+
+
 def test_unknown_declarations_are_refused(spark):
     with pytest.raises(ValueError):
         drift.declared_of(spark.createDataFrame([("gt", "page", "x", "decimal")], "file_kind string, holder string, field_name string, json_type string"), "gt")
