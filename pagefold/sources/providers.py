@@ -52,7 +52,7 @@ def parse_c(payloads: DataFrame, page_w: float, page_h: float) -> DataFrame:
 
 
 def parse_d(payloads: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    """A walk down the tree, level by level; the path of positions restores its order. The first Page block gives the scale."""
+    """A walk down the tree, level by level; the path of positions restores its order. The first Page block gives the scale. Trees of more than MAX_DEPTH levels are refused."""
     node = lambda v: F.try_variant_get(v, "$.children", "array<variant>")
     start = payloads.select("page_idx", F.try_parse_json("payload").alias("v"))
     level = start.select("page_idx", F.posexplode(F.try_variant_get("v", "$.json.children", "array<variant>")).alias("n", "v")).select("page_idx", F.array("n").alias("at"), "v")
@@ -63,6 +63,9 @@ def parse_d(payloads: DataFrame, page_w: float, page_h: float) -> DataFrame:
         level = level.select("page_idx", "at", F.posexplode(node(F.col("v"))).alias("n", "w")).select("page_idx", F.concat("at", F.array("n")).alias("at"), F.col("w").alias("v"))
         if depth >= 2 and level.isEmpty():
             break
+    else:
+        if not level.isEmpty():
+            raise ValueError(f"a tree has more than {MAX_DEPTH} levels")
     sheet = walked.where("type = 'Page' AND size(bbox) = 4").groupBy("page_idx").agg(F.min_by("bbox", "at").alias("_b"))
     rows = walked.where("type = 'Picture'").join(sheet, "page_idx", "left")
     return _boxes(rows, F.col("bbox"), F.col("_b")[2] - F.col("_b")[0], F.col("_b")[3] - F.col("_b")[1], page_w, page_h)

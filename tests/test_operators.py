@@ -202,3 +202,16 @@ def test_providers_ignore_what_they_cannot_read(spark):
         assert parse(bad, 100.0, 100.0).count() == 0
     nested = '{"json": {"children": [{"block_type": "Page", "bbox": [0, 0, 200, 100], "children": [{"block_type": "G", "children": [{"block_type": "Picture", "bbox": [20, 10, 40, 50]}]}, {"block_type": "Picture", "bbox": [0, 0, 10]}]}]}}'
     assert [tuple(r) for r in PARSERS["d"](spark.createDataFrame([(1, nested)], "page_idx int, payload string"), 100.0, 100.0).collect()] == [(1, 1, 10.0, 10.0, 20.0, 50.0)]
+
+
+def test_too_deep_a_tree_is_refused(spark, monkeypatch):
+    from pagefold.sources import providers
+
+    deep = '{"block_type": "Picture", "bbox": [0, 0, 1, 1]}'
+    for _ in range(5):
+        deep = '{"block_type": "Group", "children": [%s]}' % deep
+    payload = spark.createDataFrame([(0, '{"json": {"children": [{"block_type": "Page", "bbox": [0, 0, 10, 10], "children": [%s]}]}}' % deep)], "page_idx int, payload string")
+    assert providers.parse_d(payload, 10.0, 10.0).count() == 1
+    monkeypatch.setattr(providers, "MAX_DEPTH", 6)
+    with pytest.raises(ValueError):
+        providers.parse_d(payload, 10.0, 10.0)
