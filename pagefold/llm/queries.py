@@ -9,7 +9,7 @@ from pagefold.functions.spelling import confidence_sql, label, label_sql, paper,
 from pagefold.llm.cap import cap_contributors
 from pagefold.llm.encode import count_tokens, encode_column
 from pagefold.llm.mix import mix_documents, mix_report, plan_mix, token_sizes
-from pagefold.llm.repeat import THRESHOLDS, repetition
+from pagefold.llm.repeat import repetition
 from pagefold.llm.sample import sample_to_targets
 from pagefold.llm.split import related_pairs, update_components
 from pagefold.plans.partitioning import merge_lookup
@@ -113,9 +113,8 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    rule = tuple(r for r in THRESHOLDS if r[0] == "repeated_words")
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return repetition(docs, "text", rules=rule, only_needed=True).where(F.array_contains("flags", "repeated_words")).select("doc_id")
+    """Out of the whole threshold table: every metric and rule is evaluated."""
+    return p8_repetition(spark, d).where(F.array_contains("flags", "repeated_words")).select("doc_id")
 
 
 _WORDS_SQL = r"regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}]+')"

@@ -15,6 +15,13 @@ def test_found_columns(spark, small):
         assert QUERIES[name](spark, small).columns == columns
 
 
+def test_found_repetition_evaluates_the_whole_threshold_table(spark, small):
+    from pagefold.llm.repeat import THRESHOLDS
+
+    plan = QUERIES["p8_found"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert [metric for _, metric, _, _ in THRESHOLDS if f"{metric}#" not in plan] == []
+
+
 def test_every_row_gets_a_split(spark, small):
     out = QUERIES["p5_splits"](spark, small)
     assert out.count() == spark.read.parquet(f"{small}/page_index.parquet").count() and out.where("split IS NULL").count() == 0
