@@ -31,11 +31,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_log(spark: SparkSession, d: str) -> DataFrame:
-    """The log: each departure with the files that show it, in order of the time they were written."""
+    """The log: each departure with the number of its objects and of the files that show it, in order of the time they were written."""
     log = _departures(spark, d, "batch", "written_at")
-    grouped = log.groupBy("holder", "field_name", "change_type", "found").agg(
-        F.count(F.lit(1)).alias("objects"), F.approx_count_distinct("file_path").alias("about_files"), F.min("written_at").alias("first_at"), F.max("written_at").alias("last_at"), F.min_by("batch", F.struct("written_at", "file_path")).alias("first_batch")
-    )
+    change = ("holder", "field_name", "change_type", "found")
+    per_file = log.groupBy(*change, "file_path").agg(F.count(F.lit(1)).alias("n"), F.min("written_at").alias("first_at"), F.max("written_at").alias("last_at"), F.min(F.struct("written_at", "file_path", "batch")).alias("first"))
+    grouped = per_file.groupBy(*change).agg(F.sum("n").alias("objects"), F.count("file_path").alias("files"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.min("first")["batch"].alias("first_batch"))
     return grouped.orderBy("first_at", "holder", "field_name", "change_type", "found")
 
 

@@ -116,6 +116,19 @@ def test_values_of_another_shape_are_read_or_kept(spark):
     assert json.loads(f["retyped"]) == {"page_idx": 1e30, "page_label": {"a": [1]}} and f["n_figures"] == len(figures) and json.loads(g["retyped"]) == {"figures": "lost?"}
 
 
+def test_log_counts_files_exactly(spark, tmp_path):
+    spark.createDataFrame([("gt", "page", "page_idx", "integer")], "file_kind string, holder string, field_name string, json_type string").write.parquet(f"{tmp_path}/declared_fields.parquet")
+    n = 3000
+    body = F.when(F.col("id") < n, '{"page_idx": "x"}').otherwise('{"page_idx": 1, "more": 1}')
+    at = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + c)
+    files = spark.range(n + 2).select(F.concat(F.lit("f"), F.col("id")).alias("file_path"), F.concat(F.lit("b"), F.col("id")).alias("batch"), body.alias("body"), at(-F.col("id")).alias("written_at"))
+    files.unionByName(files.where("id < 500")).write.parquet(f"{tmp_path}/gt_files.parquet")
+    files.limit(0).write.parquet(f"{tmp_path}/meta_files.parquet")
+    rows = {r["change_type"]: r for r in q.p2_log(spark, str(tmp_path)).collect()}
+    assert (rows["retyped"]["files"], rows["retyped"]["objects"], rows["retyped"]["first_batch"]) == (n, n + 500, f"b{n - 1}")
+    assert (rows["added"]["files"], rows["added"]["objects"], rows["added"]["first_batch"]) == (2, 2, f"b{n + 1}") and rows["added"]["first_at"] < rows["added"]["last_at"]
+
+
 def test_unknown_declarations_are_refused(spark):
     with pytest.raises(ValueError):
         drift.declared_of(spark.createDataFrame([("gt", "page", "x", "decimal")], "file_kind string, holder string, field_name string, json_type string"), "gt")
