@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.plans.partitioning import merge_lookup
-from pagefold.plans.shared import checkpointed
+from pagefold.plans.partitioning import key_loads, merge_lookup
+from pagefold.plans.shared import checkpointed, stored
 
 
 def shared_item_edges(df: DataFrame, node: str, item: str) -> DataFrame:
@@ -15,21 +15,26 @@ def shared_item_edges(df: DataFrame, node: str, item: str) -> DataFrame:
     Items of one node only give no edge. Nulls in either column give none.
     """
     held = df.select(F.col(node).alias("a"), F.col(item).alias("_item")).where("a IS NOT NULL AND _item IS NOT NULL")
+    held = stored(held.distinct())  # read for the hubs, the sketch and the join
     hubs = held.groupBy("_item").agg(F.min("a").alias("b"), F.max("a").alias("_top")).where("b < _top").select("_item", "b")
-    return merge_lookup(held, hubs, "_item", F.col("a"), "inner").where("a <> b").select("a", "b").distinct()
+    return merge_lookup(held, hubs, "_item", F.col("a"), "inner", key_loads(held, "_item")[0]).where("a <> b").select("a", "b").distinct()
 
 
-#: Tables of fewer rows aren't searched for frequent keys: no task is long for them.
-SMALL = 200_000
+def _lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right``, which has each key once.
+
+    A sort-merge join whose hot partitions the adaptive skew join cuts by the sizes that the shuffle has just measured,
+    also inside one key: what many nodes point to changes with every step, so no sketch of it would hold.
+    """
+    return left.join(right.hint("merge"), key, "left")
 
 
-def _jump(parents: DataFrame, heavy: list | None) -> DataFrame:
+def _jump(parents: DataFrame) -> DataFrame:
     """Parents until each points to a root; every step halves the longest chain."""
     while True:
         target = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_grand"))
-        nxt = merge_lookup(parents, target, "parent", F.col("node"), heavy=heavy).select("node", F.coalesce("_grand", "parent").alias("_new"), "parent")
-        nxt = checkpointed(nxt)
-        moved = nxt.where(F.col("_new") != F.col("parent")).limit(1).count()
+        nxt = checkpointed(_lookup(parents, target, "parent").select("node", F.coalesce("_grand", "parent").alias("_new"), "parent"))
+        moved = not nxt.where(F.col("_new") != F.col("parent")).isEmpty()
         parents = nxt.select("node", F.col("_new").alias("parent"))
         if not moved:
             return parents
@@ -44,18 +49,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     matter; edges with a null end are dropped; no edges give an empty table.
     """
     live = checkpointed(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
-    found = checkpointed(nodes.withColumn("component", F.col("node")))
+    found = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node"))
     live = live.where("a <> b")
-    while n := live.count():
-        heavy = [] if n < SMALL else None
+    while not live.isEmpty():
         both = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select("b", "a"))
         parents = checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("parent")))
-        roots = _jump(parents, heavy)
+        roots = _jump(parents)
         as_key = lambda c: roots.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}"))
-        moved = merge_lookup(found, as_key("component"), "component", F.col("node"), heavy=heavy)
-        found = checkpointed(moved.select("node", F.coalesce("_component", "component").alias("component")))
-        one = merge_lookup(live, as_key("a"), "a", F.col("b"), heavy=heavy).select(F.coalesce("_a", "a").alias("a"), "b")
-        two = merge_lookup(one, as_key("b"), "b", F.col("a"), heavy=heavy).select("a", F.coalesce("_b", "b").alias("b"))
+        found = checkpointed(_lookup(found, as_key("component"), "component").select("node", F.coalesce("_component", "component").alias("component")))
+        one = _lookup(live, as_key("a"), "a").select(F.coalesce("_a", "a").alias("a"), "b")
+        two = _lookup(one, as_key("b"), "b").select("a", F.coalesce("_b", "b").alias("b"))
         live = checkpointed(two.where("a <> b").distinct())
     return found

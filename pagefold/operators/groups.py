@@ -20,6 +20,7 @@ def page_clusters(boxes: DataFrame, max_gap: float, texts: DataFrame | None = No
     """
     links = self_pairs(boxes.select("page_idx", "ord", "x0", "y0", "x1", "y1"), reach=max_gap, where=gap("a_", "b_") <= max_gap)
     if texts is not None:
+        links = checkpointed(links)  # read by the barriers and the join
         links = links.join(text_barriers(links, texts), ["page_idx", "a_ord", "b_ord"], "left_anti")
     node = lambda c: F.struct("page_idx", F.col(c).alias("ord"))
     key = lambda c: F.concat_ws("/", F.lpad(F.col("page_idx").cast("string"), 20, "0"), F.lpad(F.col(c).cast("string"), 10, "0"))
@@ -49,27 +50,33 @@ def suppress(boxes: DataFrame, order: list[Column], max_iou: float = 0.8, max_co
     rounds then settle boxes whose better rivals are all settled: without a kept rival a box stays, with one it goes.
     This is the sequential result, found without gathering a page. ``order`` must end in a unique key.
     """
-    ranked = checkpointed(ordered_positions(boxes, "page_idx", order).withColumnRenamed("group_pos", "_rank"))
+    ranked = ordered_positions(boxes, "page_idx", order).withColumnRenamed("group_pos", "_rank")
     slim = ranked.select("page_idx", "ord", "_rank", "x0", "y0", "x1", "y1")
     rivals = box_join(slim, slim, where=(F.col("a__rank") < F.col("b__rank")) & ((iou("a_", "b_") > max_iou) | (cover_of_smaller("a_", "b_") > max_cover)))
-    rivals = checkpointed(rivals.select("page_idx", F.col("a_ord").alias("better"), F.col("b_ord").alias("worse")))
-    gone = None
-    while True:
-        # heads: boxes that still suppress and that nothing open suppresses
-        heads = rivals.select("page_idx", F.col("better").alias("ord")).distinct().join(rivals.select("page_idx", F.col("worse").alias("ord")).distinct(), ["page_idx", "ord"], "left_anti")
-        out = rivals.join(heads.withColumnRenamed("ord", "better"), ["page_idx", "better"], "left_semi").select("page_idx", F.col("worse").alias("ord")).distinct()
-        out = checkpointed(out)
-        if out.isEmpty():
-            break
-        gone = out if gone is None else gone.unionByName(out)
-        for end in ("better", "worse"):
-            rivals = rivals.join(out.withColumnRenamed("ord", end), ["page_idx", end], "left_anti")
-        rivals = checkpointed(rivals.join(heads.withColumnRenamed("ord", "better"), ["page_idx", "better"], "left_anti"))
-    if gone is None:
-        return ranked.withColumn("kept", F.lit(True)).drop("_rank")
+    gone = losers(rivals.select("page_idx", F.col("a_ord").alias("better"), F.col("b_ord").alias("worse")))
     return ranked.join(gone.withColumn("_gone", F.lit(True)), ["page_idx", "ord"], "left").withColumn("kept", F.col("_gone").isNull()).drop("_rank", "_gone")
 
 
+def losers(rivals: DataFrame) -> DataFrame:
+    """``page_idx, ord`` of what falls out when ``better`` removes ``worse``, one after the other in an order that ``better`` comes first in.
+
+    Per round, those that nothing open removes stay and remove theirs; a row of ``rivals(page_idx, better, worse)`` with a
+    settled end is done. No page is gathered.
+    """
+    rivals = checkpointed(rivals)
+    gone = rivals.select("page_idx", F.col("worse").alias("ord")).limit(0)
+    while not rivals.isEmpty():
+        # heads: boxes that still suppress and that nothing open suppresses
+        end = lambda t, c: t.select("page_idx", F.col(c).alias("ord")).distinct()
+        heads = end(rivals, "better").join(end(rivals, "worse"), ["page_idx", "ord"], "left_anti")
+        out = checkpointed(end(rivals.join(heads.withColumnRenamed("ord", "better"), ["page_idx", "better"], "left_semi"), "worse"))
+        gone = gone.unionByName(out)
+        for c in ("better", "worse"):
+            rivals = rivals.join(out.withColumnRenamed("ord", c), ["page_idx", c], "left_anti")
+        rivals = checkpointed(rivals)  # rows of a head went with their losers
+    return gone
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is first by the columns of ``order``, ascending; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -29,12 +29,11 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
         ranked = left.withColumns({"_g": F.row_number().over(Window.partitionBy("page_idx", "gt").orderBy(*better)), "_p": F.row_number().over(Window.partitionBy("page_idx", "pred").orderBy(*better))})
         ranked = checkpointed(ranked)
         first = ranked.where("_g = 1 AND _p = 1").drop("_g", "_p")
+        if taken is not None and first.isEmpty():  # a round with pairs has a first one
+            return taken
         taken = first if taken is None else taken.unionByName(first)
         rest = ranked.where("NOT (_g = 1 AND _p = 1)").drop("_g", "_p")
-        rest = rest.join(first.select("page_idx", "gt"), ["page_idx", "gt"], "left_anti").join(first.select("page_idx", "pred"), ["page_idx", "pred"], "left_anti").select("page_idx", "gt", "pred", "iou")
-        left = checkpointed(rest)
-        if left.isEmpty():
-            return taken
+        left = rest.join(first.select("page_idx", "gt"), ["page_idx", "gt"], "left_anti").join(first.select("page_idx", "pred"), ["page_idx", "pred"], "left_anti").select("page_idx", "gt", "pred", "iou")
 
 
 def page_counts(spine: DataFrame, truth: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pagefold.plans.shared import checkpointed
 
 # Gaps in points and shares that the relations use.
 NEAR_TEXT_GAP, ATTACH_GAP, CAPTION_OVERLAP, CONTAIN_TOLERANCE = 80.0, 40.0, 0.35, 2.0
-PAGE = 1_000_000.0
 
 
 def contained(outer: DataFrame, inner: DataFrame, tolerance: float = CONTAIN_TOLERANCE) -> DataFrame:
@@ -92,8 +91,8 @@ def page_graph(atoms: DataFrame, panels: DataFrame, captions: DataFrame) -> Data
     holds = checkpointed(contained(p, not_caption.select(*box)))
     first = F.struct("a_y0", "a_x0", "a_ord") < F.struct("b_y0", "b_x0", "b_ord")
     apart = ~((area("a_") > 0) & (area("b_") > 0) & (cover_of_smaller("a_", "b_") >= 0.8))
-    rows = box_join(p, p, reach=(PAGE, 0.0), where=first & apart & same_row("a_", "b_"), cell=PAGE).withColumn("relation", F.lit("same_row"))
-    columns = box_join(p, p, reach=(0.0, PAGE), where=first & apart & same_column("a_", "b_"), cell=PAGE).withColumn("relation", F.lit("same_column"))
+    rows = box_join(p, p, axes="y", where=first & apart & same_row("a_", "b_")).withColumn("relation", F.lit("same_row"))
+    columns = box_join(p, p, axes="x", where=first & apart & same_column("a_", "b_")).withColumn("relation", F.lit("same_column"))
     lines = checkpointed(rows.unionByName(columns))
     barred = text_barriers(lines, atoms.where("kind = 'text_block'"))
     lines = lines.join(barred, ["page_idx", "a_ord", "b_ord"], "left_anti").select("page_idx", F.col("a_ord").alias("source"), F.col("b_ord").alias("target"), "relation")
@@ -119,9 +118,9 @@ def bipolar(edges: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 1_000) -> DataFrame:
     """``page_idx, seed, node, content``: nodes that a seed reaches along attracting edges whose source doesn't also repel the target.
 
-    ``content`` is false for nodes that only captions lead to. Breadth first, one join per step on (page, node), each
-    step checkpointed; a seed is among its nodes only if an edge leads back to it. Stops when a step reaches nothing
-    new, at ``max_depth`` with an error.
+    ``content`` is false for nodes that only captions lead to. Breadth first, one join per step on (page, node) and one
+    checkpoint; a seed is among its nodes only if an edge leads back to it. Stops when a step reaches nothing new, at
+    ``max_depth`` with an error.
     """
     pull = edges.where("polarity = 'attract'").select("page_idx", "source", "target", (F.col("relation") != "caption_of").alias("_content"))
     push = edges.where("polarity = 'repel'").select("page_idx", "source", "target")
@@ -131,9 +130,10 @@ def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 1_000) -> DataF
     found = None
     for _ in range(max_depth):
         new = front.join(steps, ["page_idx", "node"]).groupBy("page_idx", "seed", F.col("target").alias("node")).agg(F.bool_or("_content").alias("_content"))
+        new = new.join(reached.withColumn("_known", F.lit(True)), ["page_idx", "seed", "node"], "left")
         new = checkpointed(new)  # every edge out of the front, so content counts from all sources once they are reached
         found = new if found is None else found.unionByName(new)
-        front = checkpointed(new.select("page_idx", "seed", "node").join(reached, ["page_idx", "seed", "node"], "left_anti"))
+        front = new.where("_known IS NULL").select("page_idx", "seed", "node")
         if front.isEmpty():
             return found.groupBy("page_idx", "seed", "node").agg(F.bool_or("_content").alias("content"))
         reached = reached.unionByName(front)

@@ -8,13 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.plans.partitioning import ordered_positions
-
-
-def timing(samples: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Count, total, interpolated p50 and p95, greatest and least per key."""
-    at = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    out = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(F.col(value).cast("decimal(18,4)")), 4).alias("total"), at.alias("_p"), F.max(value).alias("max"), F.min(value).alias("min"))
-    return out.select(*keys, "count", "total", F.round(F.col("_p")[0], 6).alias("p50"), F.round(F.col("_p")[1], 6).alias("p95"), "max", "min")
+from pagefold.plans.shared import stored
+
+
+def timing(samples: DataFrame, value: str, key: str) -> DataFrame:
+    """Count, total, interpolated p50 and p95, greatest and least per key; null values don't count.
+
+    The percentiles are the values at two ranks of a range sort, so a key of any size is spread and none is gathered.
+    """
+    known = stored(samples.select(key, value).where(F.col(value).isNotNull()))
+    stats = known.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(F.col(value).cast("decimal(18,4)")), 4).alias("total"), F.max(value).alias("max"), F.min(value).alias("min"))
+    sized = stats.select(F.col(key).alias("_k"), *[((F.col("count") - 1) * p).alias(f"_{n}") for n, p in (("p50", 0.5), ("p95", 0.95))])
+    ranked = ordered_positions(known, key, [F.col(value).asc()], cheap=True).join(sized, F.col(key).eqNullSafe(F.col("_k")))
+    at = lambda end, n: F.max(F.when(F.col("group_pos") == end(f"_{n}").cast("long"), F.col(value)))
+    two = ranked.groupBy(key).agg(*[f.alias(x) for n in ("p50", "p95") for f, x in ((at(F.floor, n), f"_lo_{n}"), (at(F.ceil, n), f"_hi_{n}"), (F.first(f"_{n}"), f"_at_{n}"))])
+    part = lambda n: F.col(f"_at_{n}") - F.floor(f"_at_{n}")
+    between = lambda n: F.round(F.col(f"_lo_{n}") * (1 - part(n)) + F.col(f"_hi_{n}") * part(n), 6).alias(n)
+    two = two.select(F.col(key).alias("_k"), between("p50"), between("p95"))
+    return stats.join(two, F.col(key).eqNullSafe(F.col("_k"))).select(key, "count", "total", "p50", "p95", "max", "min")
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagefold.plans.shared import checkpointed
+from pagefold.plans.shared import checkpointed, stored
 
 
 def _run_counter(group: str, weight: str | None):
@@ -46,16 +46,18 @@ def _run_counter(group: str, weight: str | None):
     return run
 
 
-def ordered_positions(df: DataFrame, group: str, order: list[Column], weight: str | None = None) -> DataFrame:
+def ordered_positions(df: DataFrame, group: str, order: list[Column], weight: str | None = None, cheap: bool = False) -> DataFrame:
     """Adds ``group_pos`` (0, 1, ... inside each value of ``group``) and, with ``weight`` (whole numbers, null as 0), ``group_before``: the weight of the group's earlier rows.
 
     One global range sort by (group, order); each sorted partition counts its own runs while it streams by, and a
     prefix over one summary row per partition carries a group that spans partitions. A group of any size is spread
     over as many partitions as its rows need; only the per-partition summary reaches the driver. ``order`` must end
     in a unique key, or equal rows get positions in either order. A null group is a group of its own; an empty
-    table gives an empty table.
+    table gives an empty table. A range sort reads its input twice, for the bounds and for the rows: the input is
+    stored first, unless it is ``cheap`` to read again (a table, a checkpoint).
     """
     spark = df.sparkSession
+    df = df if cheap else stored(df)
     by = [F.col(group).asc_nulls_first(), *order]
     extra = [T.StructField("_pid", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("group_pos", T.LongType())]
     if weight:
@@ -87,31 +89,53 @@ def ordered_positions(df: DataFrame, group: str, order: list[Column], weight: st
 
 #: Values of a column that may be treated as frequent at once; the sketch behind it holds HEAVY_TRACKED counters, so
 #: every value with more than 1 in 1,000 of the rows is among them.
-HEAVY_KEYS, HEAVY_TRACKED = 500, 10_000
+HEAVY_KEYS, HEAVY_TRACKED = 1_000, 10_000
+#: Sketches are merged in so many groups before they meet in one task.
+HEAVY_GROUPS = 128
+#: Rows of one key that one task should get: a fair share of all, within these bounds.
+LEAST_ROWS, MOST_ROWS = 1_000, 2_000_000
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = 0.002) -> list:
-    """Values of ``key`` that hold at least ``share`` of the rows; at most HEAVY_KEYS. One pass, no shuffle of rows."""
-    got = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {HEAVY_KEYS}, {HEAVY_TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
-    return [x["item"] for x in got["top"] or [] if x["count"] >= max(2, share * got["n"])]
+def task_rows(spark: SparkSession, rows: int) -> int:
+    """Rows of a table of ``rows`` that one task should get."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(MOST_ROWS, max(LEAST_ROWS, -(-rows // tasks)))
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, heavy: list, salts: int, spread: Column) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``_salt``: rows of heavy keys on the left are spread over ``salts`` values, the right ones repeated for each."""
-    if not heavy:
+def key_loads(df: DataFrame, *keys: str) -> list[dict]:
+    """For each column, its values that hold more rows than one task should get, with the number of tasks to spread them over.
+
+    One pass without a shuffle of rows; sketches of the tasks are merged in two steps. At most HEAVY_KEYS values come
+    to the driver. A value that the sketch misses is not spread, but no row is lost: its task sorts and spills.
+    """
+    spark = df.sparkSession
+    sketch = lambda k: F.expr(f"approx_top_k_accumulate(`{k}`, {HEAVY_TRACKED}) FILTER (WHERE `{k}` IS NOT NULL)")
+    parts = df.select(*dict.fromkeys(keys)).groupBy((F.spark_partition_id() % HEAVY_GROUPS).alias("_g")).agg(F.count(F.lit(1)).alias("n"), *[sketch(k).alias(f"_s{i}") for i, k in enumerate(keys)])
+    got = parts.agg(F.sum("n").alias("n"), *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s{i}, {HEAVY_TRACKED}), {HEAVY_KEYS})").alias(f"t{i}") for i in range(len(keys))]).first()
+    fair = task_rows(spark, got["n"] or 0)
+    return [{x["item"]: -(-x["count"] // fair) for x in got[f"t{i}"] or [] if x["count"] > fair} for i in range(len(keys))]
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, loads: dict, spread: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_salt``: rows of loaded keys on the left are spread over as many values as the key has tasks, the right ones repeated for each."""
+    if not loads:
         return left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
-    hot = F.col(key).isin(heavy)
-    left = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    every = F.array(*[F.lit(i) for i in range(salts)])
-    return left, right.withColumn("_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+    spark, kind = left.sparkSession, left.schema[key].dataType
+    tasks = F.broadcast(spark.createDataFrame(list(loads.items()), T.StructType([T.StructField("_hot", kind), T.StructField("_tasks", T.IntegerType())])))  # HEAVY_KEYS rows at most
+    left = left.join(tasks, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_tasks")).cast("int"), F.lit(0))).drop("_hot", "_tasks")
+    right = right.join(tasks, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_hot", "_tasks")
+    return left, right
 
 
-def merge_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", salts: int = 32, heavy: list | None = None) -> DataFrame:
-    """Sort-merge join of ``left`` with ``right``, which has each key once; frequent keys of ``left`` are salted.
+def merge_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", loads: dict | None = None) -> DataFrame:
+    """Sort-merge join of ``left`` with ``right``, which has each key once; frequent keys of ``left`` are salted by their size.
 
     Both sides are partitioned and sorted by (key, salt) and merged as streams, so neither side has to fit anywhere.
+    Without ``loads`` (from ``key_loads`` of ``left``) the left side is stored and its keys are sketched, so that it is
+    computed once.
     """
-    left, right = salted(left, right, key, heavy_keys(left, key) if heavy is None else heavy, salts, spread)
+    if loads is None:
+        left = stored(left)
+        loads = key_loads(left, key)[0]
+    left, right = salted(left, right, key, loads, spread)
     return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")

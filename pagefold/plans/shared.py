@@ -29,6 +29,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table of this application in the shared folder; ``clear_tables`` removes them all."""
+    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` computed once and written to the shared folder as parquet: later passes read only the columns they need."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Removes the tables that this application stored on the way; its results must be written before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -12,9 +12,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows that a fixed table (settings, targets) may have to be held on the driver.
+MAX_FIXED = 10_000
+
+
+def fixed_rows(df: DataFrame, name: str, most: int = MAX_FIXED) -> list:
+    """All rows of a fixed table; one of more than ``most`` rows is refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name} has more than {most} rows")
+    return rows
+
+
 def settings(spark: SparkSession, folder: str) -> dict[str, float]:
-    """The fixed table ``job_settings`` (a handful of rows) as a dict."""
-    return {r["setting_name"]: r["setting_num"] for r in table(spark, folder, "job_settings").limit(1000).collect()}
+    """The fixed table ``job_settings`` as a dict."""
+    return {r["setting_name"]: r["setting_num"] for r in fixed_rows(table(spark, folder, "job_settings"), "job_settings")}
 
 
 def current_rows(pages: DataFrame, *columns: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagefold.operators import groups, matching, pagegraph, reports
 from pagefold.operators.boxjoin import box_join, self_pairs
 from pagefold.operators.components import connected_components, shared_item_edges
-from pagefold.plans.partitioning import heavy_keys, merge_lookup, ordered_positions
+from pagefold.plans.partitioning import key_loads, merge_lookup, ordered_positions
 
 BOXES = "page_idx bigint, ord int, x0 double, y0 double, x1 double, y1 double"
 
@@ -64,7 +64,8 @@ def test_positions_of_an_empty_table(spark):
 def test_merge_lookup_spreads_frequent_keys(spark):
     left = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(5000)] + [(None, -1)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
-    assert heavy_keys(left, "k") == ["hot"]
+    loads = key_loads(left, "k", "i")
+    assert list(loads[0]) == ["hot"] and loads[0]["hot"] >= 2 and loads[1] == {}
     out = merge_lookup(left, right, "k", F.col("i"))
     assert out.count() == 5001 and out.where("v = 1").count() == 2500 and out.where("v = 2").count() == 1
     assert merge_lookup(left, right, "k", F.col("i"), "inner").count() == 2501
@@ -100,15 +101,15 @@ def test_shared_items_link_as_a_star(spark):
     assert got == {("y", "x"), ("z", "x"), ("y", "w")}
 
 
-@pytest.mark.parametrize("cell", [40.0, 256.0, 5000.0])
-def test_box_join_equals_all_pairs(spark, cell):
+@pytest.mark.parametrize("cell,most", [(40.0, 0), (256.0, 50), (5000.0, 0), (256.0, 400)])
+def test_box_join_equals_all_pairs(spark, cell, most):
     rows = boxes(random.Random(2), 120)
     df = spark.createDataFrame(rows, BOXES)
     near = F.lit(True)
-    got = {(r["a_ord"], r["b_ord"]) for r in box_join(df, df, reach=15.0, where=near, cell=cell).collect()}
+    got = {(r["a_ord"], r["b_ord"]) for r in box_join(df, df, reach=15.0, where=near, cell=cell, most=most).collect()}
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] - 15 <= b[4] and b[2] <= a[4] + 15 and a[3] - 15 <= b[5] and b[3] <= a[5] + 15}
     assert got == want
-    anti = {r["ord"] for r in box_join(df, df, where=F.col("a_ord") != F.col("b_ord"), how="left_anti", cell=cell).collect()}
+    anti = {r["ord"] for r in box_join(df, df, where=F.col("a_ord") != F.col("b_ord"), how="left_anti", cell=cell, most=most).collect()}
     assert anti == {a[1] for a in rows if not any(a is not b and a[0] == b[0] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5] for b in rows)}
 
 
