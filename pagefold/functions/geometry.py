@@ -18,11 +18,19 @@ def sides(b: Box) -> tuple[Column, Column, Column, Column]:
 
 def zero(c: Column) -> Column:
     """The value, 0 at least; null stays null."""
-    return F.when(c > 0, c).when(c <= 0, F.lit(0.0))
+    return F.when(c.isNotNull(), _least0(c))
+
+
+def _least0(c: Column) -> Column:
+    return F.greatest(c, F.lit(0.0))
 
 
 def _known(value: Column, *parts: Column) -> Column:
-    """``greatest`` and ``least`` skip nulls: a measure with an unknown part is unknown."""
+    """``greatest`` and ``least`` skip nulls: a measure with an unknown part is unknown.
+
+    Measures test their sides once, at the top, around a formula that names each part as seldom as it can: a filter
+    evaluates every copy of a part again.
+    """
     test = parts[0].isNotNull()
     for p in parts[1:]:
         test = test & p.isNotNull()
@@ -39,51 +47,68 @@ def height(b: Box) -> Column:
     return y1 - y0
 
 
+def _area(b: Box) -> Column:
+    return _least0(width(b)) * _least0(height(b))
+
+
 def area(b: Box) -> Column:
-    return zero(width(b)) * zero(height(b))
+    return _known(_area(b), *sides(b))
+
+
+def _ox(a: Box, b: Box) -> Column:
+    (ax0, _, ax1, _), (bx0, _, bx1, _) = sides(a), sides(b)
+    return F.least(ax1, bx1) - F.greatest(ax0, bx0)
+
+
+def _oy(a: Box, b: Box) -> Column:
+    (_, ay0, _, ay1), (_, by0, _, by1) = sides(a), sides(b)
+    return F.least(ay1, by1) - F.greatest(ay0, by0)
 
 
 def overlap_x(a: Box, b: Box) -> Column:
     (ax0, _, ax1, _), (bx0, _, bx1, _) = sides(a), sides(b)
-    return _known(F.least(ax1, bx1) - F.greatest(ax0, bx0), ax0, ax1, bx0, bx1)
+    return _known(_ox(a, b), ax0, ax1, bx0, bx1)
 
 
 def overlap_y(a: Box, b: Box) -> Column:
     (_, ay0, _, ay1), (_, by0, _, by1) = sides(a), sides(b)
-    return _known(F.least(ay1, by1) - F.greatest(ay0, by0), ay0, ay1, by0, by1)
+    return _known(_oy(a, b), ay0, ay1, by0, by1)
+
+
+def _inter(a: Box, b: Box) -> Column:
+    return _least0(_ox(a, b)) * _least0(_oy(a, b))
 
 
 def inter_area(a: Box, b: Box) -> Column:
-    return zero(overlap_x(a, b)) * zero(overlap_y(a, b))
+    return _known(_inter(a, b), *sides(a), *sides(b))
 
 
 def ranges_touch(a: Box, b: Box) -> Column:
     return (overlap_x(a, b) >= 0) & (overlap_y(a, b) >= 0)
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).when(whole <= 0, F.lit(0.0))
+def _share(part: Column, whole: Column, a: Box, b: Box) -> Column:
+    """Part over whole, 0 for a whole of 0."""
+    return _known(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), *sides(a), *sides(b))
 
 
 def iou(a: Box, b: Box) -> Column:
-    inter = inter_area(a, b)
-    return _share(inter, area(a) + area(b) - inter)
+    return _share(_inter(a, b), _area(a) + _area(b) - _inter(a, b), a, b)
 
 
 def cover_of_first(a: Box, b: Box) -> Column:
     """Intersection over the area of ``a``."""
-    return _share(inter_area(a, b), area(a))
+    return _share(_inter(a, b), _area(a), a, b)
 
 
 def cover_of_smaller(a: Box, b: Box) -> Column:
     """Intersection over the smaller area."""
-    return _share(inter_area(a, b), F.least(area(a), area(b)))
+    return _share(_inter(a, b), F.least(_area(a), _area(b)), a, b)
 
 
 def gap(a: Box, b: Box) -> Column:
     """Distance between the boxes, 0 where they meet."""
-    dx, dy = zero(-overlap_x(a, b)), zero(-overlap_y(a, b))
-    return F.sqrt(dx * dx + dy * dy)
+    return _known(F.hypot(_least0(-_ox(a, b)), _least0(-_oy(a, b))), *sides(a), *sides(b))
 
 
 def clipped(b: Box, w: float, h: float) -> tuple[Column, Column, Column, Column]:

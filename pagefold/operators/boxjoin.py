@@ -24,9 +24,9 @@ def _cells(b: Box, axes: str, cell: float) -> Column:
 
 def dense_pages(boxes: DataFrame, on: tuple[str, ...] = ("page_idx",), most: int = DENSE) -> DataFrame | None:
     """Pages of more than ``most`` boxes, counted before the shuffle and small enough to broadcast; None where more than MAX_DENSE are."""
-    spark = boxes.sparkSession
-    rows = boxes.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*on).limit(MAX_DENSE + 1).collect()
-    return None if len(rows) > MAX_DENSE else spark.createDataFrame(rows, boxes.select(*on).schema)
+    counted = boxes.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*on)
+    n = counted.count()
+    return None if n > MAX_DENSE else boxes.sparkSession.createDataFrame(counted.collect() if n else [], boxes.select(*on).schema)
 
 
 def box_join(left: DataFrame, right: DataFrame, *, reach: float | tuple[float, float] = 0.0, on: tuple[str, ...] = ("page_idx",), where: Column | None = None, axes: str = "xy", how: str = "inner", cell: float = CELL, most: int = DENSE) -> DataFrame:

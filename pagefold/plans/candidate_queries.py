@@ -9,7 +9,7 @@ from pagefold.operators import candidates as c
 from pagefold.operators import groups
 from pagefold.operators.layout import line_spacing, typography
 from pagefold.plans.layout_queries import WITH_ATOMS, area_sql, gap_sql, inter_sql, round_sql
-from pagefold.sources.layouts import HEIGHT, WIDTH, atoms
+from pagefold.sources.layouts import HEIGHT, WIDTH, atoms, stored_atoms
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,7 +46,7 @@ def drawing_classes(spark: SparkSession, d: str) -> DataFrame:
 )
 def composite_drawings(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("xref") % 3
-    parts = atoms(spark, d).where("kind <> 'text_block'").select("page_idx", "ord", "x0", "y0", "x1", "y1", F.when(x == 1, "horizontal").when(x == 2, "vertical").alias("orientation"), (F.col("xref") % 2 == 0).alias("filled"))
+    parts = stored_atoms(spark, d).where("kind <> 'text_block'").select("page_idx", "ord", "x0", "y0", "x1", "y1", F.when(x == 1, "horizontal").when(x == 2, "vertical").alias("orientation"), (F.col("xref") % 2 == 0).alias("filled"))
     return c.composites(parts, WIDTH, HEIGHT)
 
 
@@ -80,7 +80,7 @@ _PROPOSALS = f"""{WITH_ATOMS}, sup AS MATERIALIZED (SELECT page_idx, ord, x0 - 2
 
 
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d)
+    a = stored_atoms(spark, d)
     grown = {s: F.col(s) + by for s, by in zip(_BOXES, (-20, -20, 60, 60), strict=True)}
     return c.boundary_proposals(a.where("kind = 'panel_border'").withColumns(grown), a)
 
@@ -116,7 +116,7 @@ def typography_blocks(spark: SparkSession, d: str) -> DataFrame:
 def ranked_closures(spark: SparkSession, d: str) -> DataFrame:
     from pagefold.plans.layout_queries import graph_closure
 
-    a = atoms(spark, d)
+    a = stored_atoms(spark, d)
     reached = graph_closure(spark, d).join(a.withColumnRenamed("ord", "node"), ["page_idx", "node"])
     boxes = reached.groupBy("page_idx", "seed").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "raster_image").alias("atoms"))
     return c.closure_scores(boxes.withColumns({"seed_score": F.lit(0.7), "evidence": F.when(F.col("atoms") > 1, "image_cluster").otherwise("visual_community")}), WIDTH * HEIGHT)
@@ -124,6 +124,6 @@ def ranked_closures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lifecycle_events(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d).select("page_idx", "ord", "x0", "y0", "x1", "y1", "xref")
+    a = stored_atoms(spark, d).select("page_idx", "ord", "x0", "y0", "x1", "y1", "xref")
     kept = groups.suppress(a, [F.col("xref").desc(), F.col("ord").asc()]).where("kept")
     return c.lifecycle(a, kept, "suppression")

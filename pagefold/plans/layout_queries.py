@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefold.functions import geometry as g
 from pagefold.operators import groups, matching, pagegraph
 from pagefold.operators.boxjoin import box_join, self_pairs
-from pagefold.sources.layouts import ATOMS_SQL, HEIGHT, PAGES_SQL, PREDICTIONS_SQL, WIDTH, atoms, pages, predictions
+from pagefold.sources.layouts import ATOMS_SQL, HEIGHT, PAGES_SQL, PREDICTIONS_SQL, WIDTH, atoms, pages, predictions, stored_atoms
 from pagefold.sources.tables import table
 
 QUERIES: dict = {}
@@ -90,7 +90,7 @@ def box_scalars(spark: SparkSession, d: str) -> DataFrame:
  FROM atoms a JOIN atoms b ON a.page_idx = b.page_idx AND a.ord < b.ord WHERE {gap_sql('a.', 'b.')} <= 24"""
 )
 def box_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = self_pairs(atoms(spark, d).select(*BOX), reach=24.0, where=g.gap("a_", "b_") <= 24)
+    pairs = self_pairs(stored_atoms(spark, d).select(*BOX), reach=24.0, where=g.gap("a_", "b_") <= 24)
     ppm = lambda c: F.floor(c * 1000000).cast("double")
     return pairs.select("page_idx", "a_ord", "b_ord", g.inter_area("a_", "b_").alias("inter_area"), ppm(g.iou("a_", "b_")).alias("iou_ppm"), ppm(g.cover_of_first("a_", "b_")).alias("cover_of_first_ppm"), ppm(g.cover_of_smaller("a_", "b_")).alias("cover_of_smaller_ppm"), ppm(g.gap("a_", "b_")).alias("gap_millionths"))
 
@@ -115,7 +115,8 @@ _PAGES_RESULT = f"""{WITH_ATOMS}, {_match_sql()}, ct AS (SELECT page_idx, count(
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    truth, found = atoms(spark, d), predictions(spark, d)
+    truth = stored_atoms(spark, d)
+    found = predictions(spark, d, truth)
     return matching.page_counts(pages(spark, d), truth, found, matching.greedy_match(matching.scored_pairs(truth, found)))
 
 
@@ -154,7 +155,8 @@ _STRICT = f"""{WITH_ATOMS}, {_match_sql()},
 
 
 def _strict(spark: SparkSession, d: str) -> DataFrame:
-    truth, found = atoms(spark, d), predictions(spark, d)
+    truth = stored_atoms(spark, d)
+    found = predictions(spark, d, truth)
     return matching.strict_rows(truth, found, matching.greedy_match(matching.scored_pairs(truth, found)))
 
 
@@ -196,7 +198,7 @@ def page_structure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH_ATOMS} SELECT o.page_idx, o.ord AS source, i.ord AS target FROM atoms o JOIN atoms i ON o.page_idx = i.page_idx AND o.ord <> i.ord WHERE o.kind IN ('panel_border', 'vector_cluster') AND i.x0 >= o.x0 - 2 AND i.y0 >= o.y0 - 2 AND i.x1 <= o.x1 + 2 AND i.y1 <= o.y1 + 2")
 def containment(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d)
+    a = stored_atoms(spark, d)
     return pagegraph.contained(a.where(F.col("kind").isin("panel_border", "vector_cluster")).select(*BOX), a.select(*BOX))
 
 
@@ -212,7 +214,7 @@ _NUMBER_SQL = r"nullif(regexp_extract(text, '(?i)^\s*(?:fig(?:ure)?\.?|图|圖)\
 def caption_numbers(spark: SparkSession, d: str) -> DataFrame:
     from pagefold.functions.text import leading_figure_number
 
-    a = atoms(spark, d)
+    a = stored_atoms(spark, d)
     markers = a.where("kind = 'text_block'").withColumn("number", leading_figure_number(F.col("text"))).where("number IS NOT NULL").select(*BOX, "number")
     return pagegraph.nearest_caption(a.where("kind = 'raster_image'").select(*BOX), markers, HEIGHT)
 
@@ -248,8 +250,8 @@ _GRAPH = f"""{WITH_ATOMS}, panels AS (SELECT * FROM atoms WHERE kind IN ('panel_
  UNION ALL SELECT a.page_idx, a.ord, b.ord, 'attachment_candidate' FROM panels a JOIN free b ON a.page_idx = b.page_idx AND a.ord <> b.ord AND b.kind IN ('color_band', 'vector_cluster', 'raster_image') WHERE {_SIDE} IS NOT NULL)"""
 
 
-def _graph(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d)
+def _graph(spark: SparkSession, d: str, a: DataFrame | None = None) -> DataFrame:
+    a = stored_atoms(spark, d) if a is None else a
     return pagegraph.page_graph(a, a.where(F.col("kind").isin("panel_border", "raster_image")), a.where("kind = 'text_block' AND text LIKE 'Figure %'"))
 
 
@@ -264,8 +266,9 @@ def page_graph_edges(spark: SparkSession, d: str) -> DataFrame:
  SELECT w.page_idx, w.seed, w.node, bool_or(s.content) AS content FROM walk w JOIN steps s ON s.page_idx = w.page_idx AND s.target = w.node AND (s.source = w.seed OR EXISTS (SELECT 1 FROM walk x WHERE x.page_idx = w.page_idx AND x.seed = w.seed AND x.node = s.source)) GROUP BY 1, 2, 3"""
 )
 def graph_closure(spark: SparkSession, d: str) -> DataFrame:
-    seeds = atoms(spark, d).where(F.col("kind").isin("panel_border", "raster_image")).select("page_idx", "ord")
-    return pagegraph.closure(seeds, pagegraph.bipolar(_graph(spark, d)))
+    a = stored_atoms(spark, d)
+    seeds = a.where(F.col("kind").isin("panel_border", "raster_image")).select("page_idx", "ord")
+    return pagegraph.closure(seeds, pagegraph.bipolar(_graph(spark, d, a)))
 
 
 _CLUSTERS = f"""WITH RECURSIVE {WITH_ATOMS[5:]}, v AS (SELECT * FROM atoms WHERE kind IN ('raster_image', 'vector_cluster')),
@@ -275,7 +278,7 @@ _CLUSTERS = f"""WITH RECURSIVE {WITH_ATOMS[5:]}, v AS (SELECT * FROM atoms WHERE
 
 
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a = atoms(spark, d)
+    a = stored_atoms(spark, d)
     v = a.where(F.col("kind").isin("raster_image", "vector_cluster"))
     return v, groups.page_clusters(v, 60.0, a.where("kind = 'text_block'"))
 
@@ -293,13 +296,14 @@ def compact_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH_ATOMS} SELECT a.page_idx, a.ord, a.x0, a.y0, a.x1, a.y1 FROM atoms a WHERE kind = 'vector_cluster' AND NOT EXISTS (SELECT 1 FROM atoms b WHERE b.page_idx = a.page_idx AND b.ord <> a.ord AND b.kind IN ('raster_image', 'vector_cluster') AND {gap_sql('a.', 'b.')} <= 40)")
 def isolated_visuals(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d)
+    a = stored_atoms(spark, d)
     return groups.isolated(a.where("kind = 'vector_cluster'"), a.where(F.col("kind").isin("raster_image", "vector_cluster")), 40.0)
 
 
 @query()
 def suppressed_boxes(spark: SparkSession, d: str) -> DataFrame:
-    both = atoms(spark, d).select(*BOX, "xref").unionByName(predictions(spark, d).select("page_idx", (F.col("ord") + 1000).alias("ord"), "x0", "y0", "x1", "y1", (F.col("ord") % 5).cast("bigint").alias("xref")))
+    a = stored_atoms(spark, d)
+    both = a.select(*BOX, "xref").unionByName(predictions(spark, d, a).select("page_idx", (F.col("ord") + 1000).alias("ord"), "x0", "y0", "x1", "y1", (F.col("ord") % 5).cast("bigint").alias("xref")))
     return groups.suppress(both, [F.col("xref").desc(), F.col("ord").asc()])
 
 

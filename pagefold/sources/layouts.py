@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagefold.plans.shared import stored
 from pagefold.sources.tables import table
 
 WIDTH, HEIGHT = 600.0, 760.0
@@ -31,10 +32,15 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """A second system: the atoms moved a little, every seventh dropped."""
+def stored_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """The atoms, derived once and stored: for queries that read them several times."""
+    return stored(atoms(spark, d), "atoms")
+
+
+def predictions(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """A second system: the atoms (``of``) moved a little, every seventh dropped."""
     dx, dy = F.col("ord") * 7 % 30, F.col("ord") * 11 % 24
-    return atoms(spark, d).where(F.col("ord") % 7 != 0).select("page_idx", "ord", "kind", *[(F.col(c) + (dx if c[0] == "x" else dy)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return (atoms(spark, d) if of is None else of).where(F.col("ord") % 7 != 0).select("page_idx", "ord", "kind", *[(F.col(c) + (dx if c[0] == "x" else dy)).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
