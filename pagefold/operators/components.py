@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.plans.partitioning import key_loads, merge_lookup
+from pagefold.plans.partitioning import adaptive_lookup, key_loads, merge_lookup
 from pagefold.plans.shared import checkpointed, stored
 
 
@@ -14,26 +14,23 @@ def shared_item_edges(df: DataFrame, node: str, item: str) -> DataFrame:
 
     Items of one node only give no edge. Nulls in either column give none.
     """
-    held = df.select(F.col(node).alias("a"), F.col(item).alias("_item")).where("a IS NOT NULL AND _item IS NOT NULL")
-    held = stored(held.distinct())  # read for the hubs, the sketch and the join
-    hubs = held.groupBy("_item").agg(F.min("a").alias("b"), F.max("a").alias("_top")).where("b < _top").select("_item", "b")
-    return merge_lookup(held, hubs, "_item", F.col("a"), "inner", key_loads(held, "_item")[0]).where("a <> b").select("a", "b").distinct()
+    held = df.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node IS NOT NULL AND item IS NOT NULL")
+    held = stored(held.distinct())  # read for the holders, the sketch and the join
+    return holder_edges(held, held.groupBy("item").agg(F.min("node").alias("holder"), F.max("node").alias("top")))
 
 
-def _lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` with the columns of ``right``, which has each key once.
-
-    A sort-merge join whose hot partitions the adaptive skew join cuts by the sizes that the shuffle has just measured,
-    also inside one key: what many nodes point to changes with every step, so no sketch of it would hold.
-    """
-    return left.join(right.hint("merge"), key, "left")
+def holder_edges(held: DataFrame, holders: DataFrame) -> DataFrame:
+    """Edges ``a, b`` from each node of ``held(node, item)`` to the item's holder; ``holders`` has ``item, holder, top``, each item once, ``top`` its greatest node in ``held``."""
+    hubs = holders.where("holder <> top").select("item", "holder")  # a smallest holder that is also the greatest node is alone
+    met = merge_lookup(held.select("node", "item"), hubs, "item", F.col("node"), "inner", key_loads(held, "item")[0])
+    return met.where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b")).distinct()
 
 
 def _jump(parents: DataFrame) -> DataFrame:
     """Parents until each points to a root; every step halves the longest chain."""
     while True:
         target = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_grand"))
-        nxt = checkpointed(_lookup(parents, target, "parent").select("node", F.coalesce("_grand", "parent").alias("_new"), "parent"))
+        nxt = checkpointed(adaptive_lookup(parents, target, "parent").select("node", F.coalesce("_grand", "parent").alias("_new"), "parent"))
         moved = not nxt.where(F.col("_new") != F.col("parent")).isEmpty()
         parents = nxt.select("node", F.col("_new").alias("parent"))
         if not moved:
@@ -56,8 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         parents = checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("parent")))
         roots = _jump(parents)
         as_key = lambda c: roots.select(F.col("node").alias(c), F.col("parent").alias(f"_{c}"))
-        found = checkpointed(_lookup(found, as_key("component"), "component").select("node", F.coalesce("_component", "component").alias("component")))
-        one = _lookup(live, as_key("a"), "a").select(F.coalesce("_a", "a").alias("a"), "b")
-        two = _lookup(one, as_key("b"), "b").select("a", F.coalesce("_b", "b").alias("b"))
+        found = checkpointed(adaptive_lookup(found, as_key("component"), "component").select("node", F.coalesce("_component", "component").alias("component")))
+        one = adaptive_lookup(live, as_key("a"), "a").select(F.coalesce("_a", "a").alias("a"), "b")
+        two = adaptive_lookup(one, as_key("b"), "b").select("a", F.coalesce("_b", "b").alias("b"))
         live = checkpointed(two.where("a <> b").distinct())
     return found

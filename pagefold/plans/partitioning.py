@@ -111,7 +111,9 @@ def key_loads(df: DataFrame, *keys: str) -> list[dict]:
     spark = df.sparkSession
     sketch = lambda k: F.expr(f"approx_top_k_accumulate(`{k}`, {HEAVY_TRACKED}) FILTER (WHERE `{k}` IS NOT NULL)")
     parts = df.select(*dict.fromkeys(keys)).groupBy((F.spark_partition_id() % HEAVY_GROUPS).alias("_g")).agg(F.count(F.lit(1)).alias("n"), *[sketch(k).alias(f"_s{i}") for i, k in enumerate(keys)])
-    got = parts.agg(F.sum("n").alias("n"), *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s{i}, {HEAVY_TRACKED}), {HEAVY_KEYS})").alias(f"t{i}") for i in range(len(keys))]).first()
+    got = parts.groupBy(F.lit(0).alias("_one")).agg(F.sum("n").alias("n"), *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(_s{i}, {HEAVY_TRACKED}), {HEAVY_KEYS})").alias(f"t{i}") for i in range(len(keys))]).first()
+    if got is None:  # no rows
+        return [{} for _ in keys]
     fair = task_rows(spark, got["n"] or 0)
     return [{x["item"]: -(-x["count"] // fair) for x in got[f"t{i}"] or [] if x["count"] > fair} for i in range(len(keys))]
 
@@ -139,3 +141,12 @@ def merge_lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, ho
         loads = key_loads(left, key)[0]
     left, right = salted(left, right, key, loads, spread)
     return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def adaptive_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right``, which has each key once, by a sort-merge join without salt.
+
+    Hot partitions are cut by the adaptive skew join, by the sizes that the shuffle has just measured, also inside one
+    key: for tables whose frequent keys change with every step, where no sketch would hold.
+    """
+    return left.join(right.hint("merge"), key, how)

@@ -65,6 +65,7 @@ def test_merge_lookup_spreads_frequent_keys(spark):
     left = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(5000)] + [(None, -1)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
     loads = key_loads(left, "k", "i")
+    assert key_loads(left.limit(0), "k") == key_loads(left.where("k IS NULL"), "k") == [{}]
     assert list(loads[0]) == ["hot"] and loads[0]["hot"] >= 2 and loads[1] == {}
     out = merge_lookup(left, right, "k", F.col("i"))
     assert out.count() == 5001 and out.where("v = 1").count() == 2500 and out.where("v = 2").count() == 1
