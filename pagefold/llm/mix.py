@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagefold.plans.partitioning import ordered_positions
-from pagefold.plans.shared import checkpointed
+from pagefold.plans.shared import stored
+from pagefold.sources.tables import fixed_rows
 
 #: Sources that one mix takes; their targets and totals are held on the driver.
 MAX_SOURCES = 5_000
+#: Straight pieces of all schedules together; they are broadcast.
+MAX_PIECES = 100_000
 #: How far weights drift over the training by default: the heaviest source begins at 1 + RAMP / 2 of its weight.
 RAMP = 0.5
 
@@ -45,15 +49,13 @@ def integrate(knots: list[tuple[float, float]]) -> list[tuple[float, float, floa
 
 
 def plan_mix(sizes: DataFrame, targets: DataFrame, share: float) -> list[dict]:
-    """One dict per target: ``source, key, weight, repeats, tokens, demand, reach, documents`` and ``short`` (it cannot reach its weight).
+    """One dict per target: ``source, key, weight, repeats, tokens, demand, reach, documents``.
 
     ``sizes`` has ``key`` (source, null for none) and ``n_tokens``. Demand is weight x ``share`` x the tokens of all rows,
     compared exactly as written in decimal; a source's reach is its tokens ``max_repeats`` times or the demand, the
     smaller. Totals are combined before the shuffle and kept for targets only.
     """
-    rows = targets.select("source", "key", "target_weight", "max_repeats").orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = fixed_rows(targets.select("source", "key", "target_weight", "max_repeats").orderBy("source"), "targets", MAX_SOURCES)
     keys = sizes.sparkSession.createDataFrame([(k, True) for k in dict.fromkeys(r["key"] for r in rows) if k is not None], "key string, _on boolean")
     sums = sizes.join(F.broadcast(keys), "key", "left").groupBy(F.when(F.col("_on"), F.col("key")).alias("key")).agg(F.sum("n_tokens").alias("t"), F.count_if(F.col("n_tokens") > 0).alias("d"))
     of = {r["key"]: (r["t"] or 0, r["d"]) for r in sums.collect()}
@@ -63,7 +65,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, share: float) -> list[dict]:
         tokens, documents = of.get(r["key"], (0, 0)) if r["key"] is not None else (0, 0)
         repeats, weight = max(0, r["max_repeats"] or 0), Fraction(str(r["target_weight"] or 0))
         demand = weight * Fraction(str(share)) * whole
-        out.append({"source": r["source"], "key": r["key"], "weight": weight, "repeats": repeats, "tokens": tokens, "documents": documents, "demand": demand, "reach": min(demand, Fraction(repeats * tokens)), "short": repeats * tokens < demand})
+        out.append({"source": r["source"], "key": r["key"], "weight": weight, "repeats": repeats, "tokens": tokens, "documents": documents, "asked": Fraction(str(share)) * whole, "demand": demand, "reach": min(demand, Fraction(repeats * tokens))})
     return out
 
 
@@ -82,10 +84,12 @@ def mix_documents(sizes: DataFrame, key: str, plan: list[dict], schedules: dict[
     rows = {p["key"]: (p["key"], p["source"], float(p["reach"]), int(p["tokens"]), int(p["repeats"])) for p in plan if p["key"] in weights}
     reach = spark.createDataFrame(list(rows.values()), "_key string, source string, _reach double, _tokens long, _repeats int")
     pieces = [(k, *piece) for k, knots in chosen.items() for piece in integrate(knots)]
+    if len(pieces) > MAX_PIECES:
+        raise ValueError(f"schedules have more than {MAX_PIECES} pieces")
     bends = spark.createDataFrame(pieces, T.StructType([T.StructField("_k", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("_t0", "_t1", "_w0", "_w1", "_c0", "_c1")]]))
     own = sizes.select(F.col(key).alias("_id"), "key", "n_tokens").where("n_tokens > 0")
     own = own.join(F.broadcast(reach.select("_key")), F.col("key") == F.col("_key"), "left_semi").withColumn("_u", F.xxhash64(F.lit(seed), F.col("_id")))
-    run = ordered_positions(own, "key", [F.col("_u").asc(), F.col("_id").asc()], "n_tokens").drop("_u", "group_pos")
+    run = ordered_positions(own, "key", [F.col("_u").asc(), F.col("_id").asc()], "n_tokens", cheap=True).drop("_u", "group_pos")
     drawn = run.join(F.broadcast(reach), F.col("key") == F.col("_key"))
     middle = F.col("group_before") + F.col("n_tokens") / 2
     copies = F.least(F.col("_repeats"), F.floor((F.col("_reach") - middle) / F.col("_tokens")).cast("int") + 1)
@@ -101,19 +105,29 @@ def mix_documents(sizes: DataFrame, key: str, plan: list[dict], schedules: dict[
 
 
 def mix_report(mixed: DataFrame, plan: list[dict], share: float) -> DataFrame:
-    """A row per target with the share asked for, the share reached in ``mixed``, and whether the source falls short."""
+    """A row per target, measured on the ``mixed`` table: what was asked for, what was drawn, and ``short``.
+
+    ``target_share`` is the weight; ``share_of_target`` the drawn tokens over the whole size asked for (``share`` of
+    all tokens), ``actual_share`` over all drawn tokens: sources that fall short leave the mix smaller than asked for,
+    so that the others' actual shares lie above their weights. A source is ``short`` if every copy of all its documents
+    was drawn and they still are fewer tokens than its demand. Sources without documents have zeros. ``mixed`` is read
+    twice: give it stored.
+    """
     spark = mixed.sparkSession
     head = spark.createDataFrame(
-        [(p["source"], float(p["weight"]), p["repeats"], p["documents"], p["tokens"], float(p["demand"]), p["short"]) for p in plan],
-        "source string, target_weight double, max_repeats int, documents long, tokens long, demand double, short boolean",
+        [(p["source"], float(p["weight"]), p["repeats"], p["documents"], p["tokens"], float(p["demand"]), math.ceil(p["demand"])) for p in plan],
+        "source string, target_share double, max_repeats int, documents long, tokens long, demand double, _least long",
     )
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("drawn"), F.sum("n_tokens").alias("drawn_tokens"), F.max("copy").alias("most_copies"))
-    whole = got.agg(F.sum("drawn_tokens").alias("_all"))
-    out = head.join(F.broadcast(got), "source", "left").join(F.broadcast(whole))
+    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("drawn"), F.sum("n_tokens").alias("drawn_tokens"), F.max("copy").alias("most_copies"))  # a row per target
+    drawn = mixed.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    asked = float(plan[0]["asked"]) if plan else 0.0
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(*head.columns, zero("drawn").alias("drawn"), zero("drawn_tokens").alias("drawn_tokens"), zero("most_copies").alias("most_copies"), zero(F.col("drawn_tokens") / F.col("_all")).alias("actual_share"))
+    out = head.join(F.broadcast(got), "source", "left").withColumns({c: zero(F.col(c)) for c in ("drawn", "drawn_tokens", "most_copies")})
+    part = lambda whole: F.coalesce(F.try_divide("drawn_tokens", F.lit(float(whole))), F.lit(0.0))
+    short = (F.col("drawn_tokens") == F.col("max_repeats") * F.col("tokens")) & (F.col("drawn_tokens") < F.col("_least"))
+    return out.withColumns({"share_of_target": part(asked), "actual_share": part(drawn), "short": short}).drop("_least")
 
 
 def token_sizes(documents: DataFrame, key: str, source, count) -> DataFrame:
     """``key, key of the source, n_tokens`` of all documents, computed once and kept in the shared folder."""
-    return checkpointed(count(documents.select(key, source.alias("key"), "text"), "text"))
+    return stored(count(documents.select(key, source.alias("key"), "text"), "text"))

@@ -87,9 +87,11 @@ def mixture(spark, rows=None):
 def test_sources_reach_their_weight_or_are_reported(spark):
     sizes, plan = mixture(spark)
     by = {p["source"]: p for p in plan}
-    assert {s for s, p in by.items() if p["short"]} == {"Short", "Gone", "None"}
     mixed = mix_documents(sizes, "doc", plan)
     report = {r["source"]: r for r in mix_report(mixed, plan, 0.5).collect()}
+    assert {s for s, r in report.items() if r["short"]} == {"Short", "Gone", "None"} == {s for s, p in by.items() if p["repeats"] * p["tokens"] < p["demand"]}
+    asked = sizes.agg(F.sum("n_tokens")).first()[0] * 0.5
+    assert all(abs(r["share_of_target"] - r["drawn_tokens"] / asked) < 1e-9 for r in report.values()) and abs(report["Big"]["share_of_target"] - 0.5) < 0.01
     for s in ("Big", "Small"):
         assert abs(report[s]["drawn_tokens"] - by[s]["demand"]) <= 151
     assert report["Short"]["drawn_tokens"] == 2 * by["Short"]["tokens"] and report["Gone"]["drawn"] == 0
@@ -112,8 +114,16 @@ def test_positions_follow_the_schedule(spark):
 
 def test_mixing_nothing(spark):
     sizes, plan = mixture(spark, [])
-    assert mix_documents(sizes, "doc", plan).count() == 0
-    assert not any(p["short"] for p in plan)
+    mixed = mix_documents(sizes, "doc", plan)
+    assert mixed.count() == 0
+    assert not any(r["short"] for r in mix_report(mixed, plan, 0.5).collect())
+
+
+def test_found_sources_are_read_from_the_mixed_table(spark, small):
+    from pagefold.llm.queries import p7_found, p7_report
+
+    files = [f for f in p7_report(spark, small).select("drawn_tokens").inputFiles() if "/mixed-" in f]
+    assert files and p7_found(spark, small).columns == ["source"]
 
 
 def words(text):
