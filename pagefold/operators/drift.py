@@ -10,24 +10,39 @@ from pagefold.functions.values import computed, let
 #: Declared fields that one call takes; they are a fixed table and become part of the expressions.
 MAX_DECLARED = 1_000
 
-# The kinds that declarations name, with the kinds a value may have.
+# The kind of value that each declared type names.
 KINDS = {
-    "integer": ("integer",),
-    "number": ("integer", "number"),
-    "string": ("string", "page id"),
-    "boolean": ("boolean",),
-    "array of 4 numbers": ("box",),
-    "array of arrays of 4 numbers": ("boxes", "empty"),
-    "array of figure": ("objects", "empty"),
-    "object": ("object",),
-    "array": ("array", "empty", "box", "boxes", "objects"),
+    "integer": "integer",
+    "number": "number",
+    "string": "string",
+    "boolean": "boolean",
+    "array of 4 numbers": "box",
+    "array of arrays of 4 numbers": "boxes",
+    "array of figure": "objects",
+    "object": "object",
+    "array": "array",
 }
 #: Kinds that stand in for a missing field of a declared kind.
 STANDS_IN = {"array of 4 numbers": ("box",), "array of arrays of 4 numbers": ("boxes",)}
 #: What a page id looks like: letters, an underscore, digits.
 PAGE_ID = r"^[A-Za-z]+_[0-9]+$"
-#: The lattice: kinds join to the least kind above both; ``null`` and ``empty`` are below, ``any`` on top.
+#: The lattice: kinds join to the least kind above both; ``null`` is below all, ``empty`` below the lists of any length, ``any`` on top.
 ABOVE = {"integer": "number", "number": "any", "page id": "string", "string": "any", "box": "array", "boxes": "array", "objects": "array", "array": "any", "object": "any", "boolean": "any"}
+#: Kinds of lists that may have no element.
+MAY_BE_EMPTY = ("boxes", "objects", "array")
+
+
+def chain(kind: str) -> list[str]:
+    """A kind and all above it."""
+    out = [kind]
+    while out[-1] in ABOVE:
+        out.append(ABOVE[out[-1]])
+    return out
+
+
+def within(kind: str) -> list[str]:
+    """Kinds whose join with ``kind`` is ``kind``: a value of theirs needs no promotion there."""
+    return ["null", *[k for k in (*ABOVE, "any") if kind in chain(k)], *(["empty"] if kind in (*MAY_BE_EMPTY, "any") else [])]
 
 
 def readable(body: Column) -> Column:
@@ -112,7 +127,7 @@ def _departures(header: Column, declared: list[tuple[str, str]]) -> Column:
     that no earlier field claimed, the one whose name is nearest.
     """
     names = F.array(*[F.lit(n) for n, _ in declared])
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.array(F.lit("null"), *[F.lit(k) for k in KINDS[t]]).alias("good"), F.array(*[F.lit(k) for k in _stand_in(n, t)]).cast("array<string>").alias("stand_in")) for n, t in declared])
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(k) for k in within(KINDS[t])]).alias("good"), F.array(*[F.lit(k) for k in _stand_in(n, t)]).cast("array<string>").alias("stand_in")) for n, t in declared])
     none = F.lit(None).cast("string")
     row = lambda name, change, found: F.struct(name.alias("field_name"), F.lit(change).alias("change_type"), found.alias("found"))
     held = F.transform(header, lambda e: e["name"])
@@ -153,14 +168,73 @@ def promoted(headers: DataFrame) -> DataFrame:
     The fold is a set union that is combined before the shuffle; a field has a dozen kinds at most.
     """
     seen = headers.select("holder", F.explode("header").alias("f")).groupBy("holder", F.col("f.name").alias("field_name")).agg(F.sort_array(F.collect_set("f.kind")).alias("kinds"), F.count(F.lit(1)).alias("objects"))
-    up = lambda k: F.create_map(*[F.lit(x) for pair in ABOVE.items() for x in pair])[k]
-    chain = lambda k: F.array_compact(F.array(k, up(k), up(up(k)), up(up(up(k)))))
+    chains = F.create_map(*[x for k in (*ABOVE, "any") for x in (F.lit(k), F.array(*[F.lit(c) for c in chain(k)]))])
     real = F.filter("kinds", lambda k: ~k.isin("null", "empty"))
-    join = F.aggregate(real, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (a == k), k).otherwise(F.get(F.array_intersect(chain(a), chain(k)), F.lit(0))))
+    join = F.aggregate(real, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (a == k), k).otherwise(F.get(F.array_intersect(chains[a], chains[k]), F.lit(0))))
     fallback = F.when(F.array_contains("kinds", "empty"), "array").otherwise("null")
+    join = F.when(F.array_contains("kinds", "empty") & ~join.isin(*MAY_BE_EMPTY, "any"), F.when(join == "box", "array").otherwise("any")).otherwise(join)
     return seen.withColumn("kind", F.coalesce(join, fallback))
 
 
+# The Spark type of each promoted kind; what no single type holds is JSON text.
+UNION_TYPES = {"integer": "bigint", "number": "double", "string": "string", "page id": "string", "boolean": "boolean", "box": "array<double>", "boxes": "array<array<double>>", "objects": "array<string>", "array": "array<string>", "object": "map<string,string>", "null": "string", "any": "string"}
+#: Fields that the union schema may have: they become columns.
+MAX_FIELDS = 5_000
+
+
+def union_fields(schema: DataFrame, holder: str) -> dict[str, str]:
+    """The union schema of a holder as field and kind, from ``promoted``; more than MAX_FIELDS are refused."""
+    rows = schema.where(F.col("holder") == holder).select("field_name", "kind").limit(MAX_FIELDS + 1).collect()
+    if len(rows) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} fields")
+    return dict(sorted((r["field_name"], r["kind"]) for r in rows))
+
+
+def _union_cast(v: Column, kind: str) -> Column:
+    """A value cast to the type of a kind at or above its own, which holds it whole; null stays null."""
+    value = F.when(~F.is_variant_null(v), v)
+    if kind in ("objects", "array"):
+        return F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.to_json(x))
+    if kind == "any":
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    if kind == "object":
+        return F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda _, x: F.to_json(x))
+    return F.try_variant_get(value, "$", UNION_TYPES[kind])
+
+
+def unified(files: DataFrame, key: str, body: str, fields: dict[str, str], holder: str, inner: str | None = None) -> DataFrame:
+    """All readable bodies cast to the union schema: ``key, at`` and a column per field of ``fields`` (``union_fields``), undeclared ones too.
+
+    The lattice makes each field's type hold every value of it, so none is lost: kinds without a common type are JSON
+    text. Columns carry the names as found; two that differ in letter case only get the suffix ``__2`` and so on. An
+    absent field is null, as is a null. Unreadable bodies give no row.
+    """
+    objects = _objects(files, key, body, holder, inner)
+    objects = computed(objects, _m=F.try_variant_get("_o", "$", "map<string,variant>"))
+    taken: dict[str, int] = {key.lower(): 1, "at": 1}
+    columns = []
+    for name, kind in fields.items():
+        taken[name.lower()] = n = taken.get(name.lower(), 0) + 1
+        columns.append(_union_cast(F.try_element_at("_m", F.lit(name)), kind).alias(name if n == 1 else f"{name}__{n}"))
+    return objects.select(key, "at", *columns)
+
+
+def unreadable(files: DataFrame, key: str, body: str) -> DataFrame:
+    """``key, reason`` of bodies that aren't one JSON object: ``null``, ``blank`` or ``not one JSON object``."""
+    blank = F.btrim(body, F.lit(" \t\r\n")) == ""
+    reason = F.when(F.col(body).isNull(), "null").when(blank, "blank").when(readable(F.col(body)).isNull(), "not one JSON object")
+    return files.select(key, reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def _objects(files: DataFrame, key: str, body: str, holder: str, inner: str | None) -> DataFrame:
+    """``key, at, _o``: the objects of a holder in readable bodies."""
+    read = computed(files.select(key, F.col(body).alias("_b")), _v=readable(F.col("_b"))).where("_v IS NOT NULL")
+    if holder == "page":
+        return read.select(key, F.lit(0).alias("at"), F.col("_v").alias("_o"))
+    parts = F.coalesce(F.try_variant_get("_v", f"$.{inner}", "array<variant>"), F.array().cast("array<variant>"))
+    return read.select(key, F.posexplode(parts).alias("at", "_o")).where(F.schema_of_variant("_o").startswith("OBJECT<")).withColumn("at", F.col("at") + 1)
+
+
 # The Spark type of each declared kind.
 SPARK_TYPES = {"integer": "bigint", "number": "double", "string": "string", "boolean": "boolean", "array of 4 numbers": "array<double>", "array of arrays of 4 numbers": "array<array<double>>", "array of figure": "array<variant>", "object": "map<string,string>", "array": "array<string>"}
 
@@ -209,14 +283,10 @@ def conformed(files: DataFrame, key: str, body: str, declared: dict[str, list[tu
     Each value is cast to the declared type, from its stand-in where the field was renamed; boxes are also read from
     text, objects, flat and nested lists. What can't be cast is null. ``retyped`` has, by declared name, the JSON of
     every value that is of another kind than declared or that the cast can't hold, recovered or not, so that none is
-    lost; null if there is none. Undeclared fields stay as JSON text in ``rest``. Unreadable bodies give no row.
+    lost; null if there is none. Undeclared fields stay as JSON text in ``rest``; ``unified`` has them in columns of
+    their own. Unreadable bodies give no row.
     """
-    read = computed(files.select(key, F.col(body).alias("_b")), _v=readable(F.col("_b"))).where("_v IS NOT NULL")
-    if holder == "page":
-        objects = read.select(key, F.lit(0).alias("at"), F.col("_v").alias("_o"))
-    else:
-        parts = F.coalesce(F.try_variant_get("_v", f"$.{inner}", "array<variant>"), F.array().cast("array<variant>"))
-        objects = read.select(key, F.posexplode(parts).alias("at", "_o")).where(F.schema_of_variant("_o").startswith("OBJECT<")).withColumn("at", F.col("at") + 1)
+    objects = _objects(files, key, body, holder, inner)
     fields = declared.get(holder, [])
     objects = computed(objects.select(key, "at", "_o"), _h=header(F.col("_o")))
     split = lambda d: F.struct(F.map_from_entries(F.transform(F.filter(d, lambda c: c["change_type"] == "renamed"), lambda c: F.struct(c["field_name"], c["found"]))).alias("c"), F.transform(F.filter(d, lambda c: c["change_type"] == "retyped"), lambda c: c["field_name"]).alias("t"))

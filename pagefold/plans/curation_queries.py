@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from pagefold.functions.spelling import paper, paper_sql, place, place_sql
 from pagefold.functions.values import computed
-from pagefold.operators.drift import conformed, declared_of, departures, file_headers, promoted, readable
+from pagefold.operators.drift import conformed, declared_of, departures, file_headers, promoted, readable, unified, union_fields, unreadable
 from pagefold.operators.orphans import is_orphan, orphan_report, parent_intervals, resolve_references
-from pagefold.plans.shared import checkpointed
 from pagefold.sources.tables import table
 
 FILES = (("gt", "gt_files", "figures"), ("meta", "meta_files", None))
@@ -53,6 +52,23 @@ def _table(kind: str, holder: str):
     return query
 
 
+def _unified(kind: str, holder: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """All files of a kind cast to the union schema that their headers fold to."""
+        _, name, inner = next(f for f in FILES if f[0] == kind)
+        files = table(spark, d, name)
+        fields = union_fields(promoted(file_headers(files, "file_path", "body", inner if holder == "figure" else None)), holder)
+        return unified(files, "file_path", "body", fields, holder, inner)
+
+    return query
+
+
+def p2_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Files without a readable body, each copy, with the reason: they are in no table."""
+    parts = [unreadable(table(spark, d, name), "file_path", "body").withColumn("file_kind", F.lit(kind)) for kind, name, _ in FILES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     pages, pool = table(spark, d, "page_index"), table(spark, d, "source_pool")
     artifacts, meta = table(spark, d, "artifact_files"), table(spark, d, "meta_files")
@@ -63,7 +79,7 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
     spread = F.concat_ws("\x1f", "ref_key", "at")
     files = resolve_references(paths.unionByName(pdfs).withColumn("spread", spread), parent_intervals(artifacts.select(place("file_path").alias("key"), "written_at", "deleted_at"), "key", "written_at", "deleted_at"), "target", "at", "spread")
     doc = computed(meta, _doc=F.try_variant_get(readable(F.col("body")), "$.doc_id", "string"))
-    named = checkpointed(doc.select(*ref("meta_files", "doc_id"), F.col("file_path").alias("ref_key"), F.col("written_at").alias("at"), paper("_doc").alias("target")))  # bodies are parsed once
+    named = doc.select(*ref("meta_files", "doc_id"), F.col("file_path").alias("ref_key"), F.col("written_at").alias("at"), paper("_doc").alias("target"))
     papers = resolve_references(named.withColumn("spread", spread), parent_intervals(pool.select(paper("doc_id").alias("key"), "added_at", "removed_at"), "key", "added_at", "removed_at"), "target", "at", "spread")
     return files.unionByName(papers).drop("spread")
 
@@ -94,10 +110,19 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_log": p2_log,
     "p2_schema": p2_schema,
+    "p2_unreadable": p2_unreadable,
+    "p2_gt_pages_union": _unified("gt", "page"),
+    "p2_gt_figures_union": _unified("gt", "figure"),
+    "p2_meta_union": _unified("meta", "page"),
     "p2_gt_pages": _table("gt", "page"),
     "p2_gt_figures": _table("gt", "figure"),
     "p2_meta_pages": _table("meta", "page"),
     "p3_found": p3_found,
     "p3_report": p3_report,
 }
-SQL = {"p3_found": _p3_sql()}
+def _unreadable_sql(kind: str, name: str) -> str:
+    reason = r"CASE WHEN body IS NULL THEN 'null' WHEN trim(body, E' \t\r\n') = '' THEN 'blank' WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'not one JSON object' END"
+    return f"SELECT file_path, '{kind}' AS file_kind, reason FROM (SELECT file_path, {reason} AS reason FROM {name}) WHERE reason IS NOT NULL"
+
+
+SQL = {"p3_found": _p3_sql(), "p2_unreadable": " UNION ALL ".join(_unreadable_sql(kind, name) for kind, name, _ in FILES)}

@@ -173,3 +173,30 @@ def test_scans_read_only_the_columns_they_need(spark, small):
 
     plan = current_pages(table(spark, small, "page_index"))._jdf.queryExecution().executedPlan().toString()
     assert "overlay_path" not in plan and "shortlist_reason" not in plan
+
+
+def test_union_schema_holds_every_value(spark):
+    bodies = ['{"a": 1, "b": [1, 2, 3, 4], "C": "x", "c": true, "e": [], "m": {"k": 1}}', '{"a": 2.5, "b": "1,2,3,4", "C": "p_1", "e": [[1, 2, 3, 4]], "m": null, "n": [1, "z", {"q": 2}]}', '{"a": null, "b": null, "k": 7}', "[1]", None]
+    files = spark.createDataFrame([(f"f{i}", b) for i, b in enumerate(bodies)], "k string, body string")
+    fields = drift.union_fields(drift.promoted(drift.file_headers(files, "k", "body")), "page")
+    assert fields == {"C": "string", "a": "number", "b": "any", "c": "boolean", "e": "boxes", "k": "integer", "m": "object", "n": "array"}
+    df = drift.unified(files, "k", "body", fields, "page")
+    assert df.columns == ["k", "at", "C", "a", "b", "c__2", "e", "k__2", "m", "n"]
+    rows = {r["k"]: r for r in df.collect()}
+    assert set(rows) == {"f0", "f1", "f2"}
+    assert rows["f0"]["a"] == 1.0 and rows["f1"]["a"] == 2.5 and rows["f2"]["a"] is None
+    assert rows["f0"]["b"] == "[1,2,3,4]" and rows["f1"]["b"] == "1,2,3,4" and rows["f2"]["b"] is None
+    assert rows["f0"]["e"] == [] and rows["f1"]["e"] == [[1, 2, 3, 4]] and rows["f0"]["m"] == {"k": "1"} and rows["f1"]["n"] == ["1", '"z"', '{"q":2}']
+    assert rows["f0"]["c__2"] is True and rows["f1"]["c__2"] is None and rows["f2"]["k__2"] == 7
+    assert drift.unified(files.limit(0), "k", "body", fields, "page").count() == 0
+
+
+def test_lattice_says_what_needs_no_promotion():
+    assert drift.within("number") == ["null", "integer", "number"] and drift.within("box") == ["null", "box"]
+    assert set(drift.within("array")) == {"null", "box", "boxes", "objects", "array", "empty"}
+    assert set(drift.within("any")) == {"null", "empty", "any", *drift.ABOVE}
+
+
+def test_unreadable_bodies_are_listed(spark):
+    files = spark.createDataFrame([("a", None), ("b", " \n"), ("c", "{"), ("d", "[1]"), ("e", '{"x": 1}'), ("f", '{"x": 1, "x": 2}'), ("g", '{"x": 1} {}')], "k string, body string")
+    assert {r["k"]: r["reason"] for r in drift.unreadable(files, "k", "body").collect()} == {"a": "null", "b": "blank", **dict.fromkeys("cdfg", "not one JSON object")}
