@@ -108,7 +108,8 @@ def cover_of_smaller(a: Box, b: Box) -> Column:
 
 def gap(a: Box, b: Box) -> Column:
     """Distance between the boxes, 0 where they meet."""
-    return _known(F.hypot(_least0(-_ox(a, b)), _least0(-_oy(a, b))), *sides(a), *sides(b))
+    dx, dy = _least0(-_ox(a, b)), _least0(-_oy(a, b))
+    return _known(F.sqrt(dx * dx + dy * dy), *sides(a), *sides(b))
 
 
 def clipped(b: Box, w: float, h: float) -> tuple[Column, Column, Column, Column]:

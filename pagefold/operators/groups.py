@@ -13,16 +13,20 @@ from pagefold.plans.partitioning import ordered_positions
 from pagefold.plans.shared import checkpointed
 
 
-def page_clusters(boxes: DataFrame, max_gap: float, texts: DataFrame | None = None) -> DataFrame:
+def page_clusters(boxes: DataFrame, max_gap: float, texts: DataFrame | None = None, barrier: float = 0.8) -> DataFrame:
     """``page_idx, ord, cluster``: boxes of a page linked by gaps of at most ``max_gap`` (and no text between), ``cluster`` the smallest ord.
 
-    Links come from a grid join; components are found over all pages at once, so a dense page is no single task.
+    Links come from a range join; components are found over all pages at once, so a dense page is no single task.
     """
     links = self_pairs(boxes.select("page_idx", "ord", "x0", "y0", "x1", "y1"), reach=max_gap, where=gap("a_", "b_") <= max_gap)
     if texts is not None:
         links = checkpointed(links)  # read by the barriers and the join
-        links = links.join(text_barriers(links, texts), ["page_idx", "a_ord", "b_ord"], "left_anti")
-    node = lambda c: F.struct("page_idx", F.col(c).alias("ord"))
+        links = links.join(text_barriers(links, texts, barrier), ["page_idx", "a_ord", "b_ord"], "left_anti")
+    return linked_groups(boxes, links)
+
+
+def linked_groups(boxes: DataFrame, links: DataFrame) -> DataFrame:
+    """``page_idx, ord, cluster`` of boxes that ``links(page_idx, a_ord, b_ord)`` join, ``cluster`` the smallest ord; a box without link is its own."""
     key = lambda c: F.concat_ws("/", F.lpad(F.col("page_idx").cast("string"), 20, "0"), F.lpad(F.col(c).cast("string"), 10, "0"))
     found = connected_components(links.select(key("a_ord").alias("a"), key("b_ord").alias("b")))
     part = lambda c, i: F.split(c, "/")[i].cast("bigint")

@@ -42,9 +42,9 @@ def nearest_caption(images: DataFrame, markers: DataFrame, page_height: float) -
     return pairs.groupBy("page_idx", F.col("a_ord").alias("ord")).agg(F.min(F.struct(distance.alias("d"), (-over).alias("o"), F.col("b_number").alias("number"))).alias("m")).select("page_idx", "ord", "m.number")
 
 
-def text_barriers(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs ``page_idx, a_*, b_*`` that a text separates: it covers 80 % of the shared width in the gap between upper
-    and lower, or 60 % of the shared height between left and right. A semi join on the box that spans the gap."""
+def text_barriers(pairs: DataFrame, texts: DataFrame, across: float = 0.8) -> DataFrame:
+    """Pairs ``page_idx, a_*, b_*`` that a text separates: it covers ``across`` of the shared width in the gap between
+    upper and lower, or 60 % of the shared height between left and right. A semi join on the box that spans the gap."""
     box = lambda p: [F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")]
     (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = box("a_"), box("b_")
     a_up, a_left = ay0 <= by0, ax0 <= bx0
@@ -53,7 +53,7 @@ def text_barriers(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     gaps = held.where("gy1 > gy0 AND sx1 > sx0").select("page_idx", "a_ord", "b_ord", F.lit("v").alias("way"), F.col("sx0").alias("x0"), F.col("gy0").alias("y0"), F.col("sx1").alias("x1"), F.col("gy1").alias("y1"))
     gaps = gaps.unionByName(held.where("gx1 > gx0 AND sy1 > sy0").select("page_idx", "a_ord", "b_ord", F.lit("h").alias("way"), F.col("gx0").alias("x0"), F.col("sy0").alias("y0"), F.col("gx1").alias("x1"), F.col("sy1").alias("y1")))
     ox, oy = overlap_x("a_", "b_"), overlap_y("a_", "b_")
-    stops = (ox > 0) & (oy > 0) & F.when(F.col("a_way") == "v", ox / width("a_") >= 0.8).otherwise(oy / height("a_") >= 0.6)
+    stops = (ox > 0) & (oy > 0) & F.when(F.col("a_way") == "v", ox / width("a_") >= across).otherwise(oy / height("a_") >= 0.6)
     return box_join(gaps, texts.select("page_idx", "x0", "y0", "x1", "y1"), where=stops).select("page_idx", F.col("a_a_ord").alias("a_ord"), F.col("a_b_ord").alias("b_ord")).distinct()
 
 

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 CURRENT = f"""(SELECT page_id, doc_id, {paper_sql('doc_id')} AS paper, {label_sql('figure_family')} AS family, {label_sql('difficulty')} AS level, {confidence_sql('classification_confidence')} AS score
  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY row_no DESC) AS nth FROM page_index WHERE page_id IS NOT NULL) WHERE nth = 1)"""
 # RE2 has no lookahead: the end of a label is a consuming group there.
-_PRE, _NUM, _END = r"(?:fig(?:ure)?\.?|图|圖)", r"\d+(?:\.\d+)*(?:-\d+)?[A-Za-z]?", r"(?:[ \t\n\r\f]|[:：.。)、）\]-]|$)"
+_PRE, _NUM, _END = r"(?:fig(?:ure)?\.?|图|圖)", r"\d+(?:\.\d+)*(?:-\d+)?[A-Za-z]?", r"(?:[ \t\n\r\f]|[:：.。)、\]-]|$)"
 _CAP, _REF = rf"(?i)^\s*({_PRE})\s*({_NUM}){_END}", rf"(?i)({_PRE})\s*({_NUM}){_END}"
 _LINES = "(SELECT doc_id, unnest(string_split(text, E'\\n')) AS line FROM documents WHERE text IS NOT NULL)"
 

@@ -202,7 +202,7 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return pagegraph.contained(a.where(F.col("kind").isin("panel_border", "vector_cluster")).select(*BOX), a.select(*BOX))
 
 
-_NUMBER_SQL = r"nullif(regexp_extract(text, '(?i)^\s*(?:fig(?:ure)?\.?|图|圖)\s*(\d+(?:\.\d+)*(?:-\d+)?[A-Za-z]?)(?:\s|[:：.。)、）\]-]|$)', 1), '')"
+_NUMBER_SQL = r"nullif(regexp_extract(text, '(?i)^\s*(?:fig(?:ure)?\.?|图|圖)\s*(\d+(?:\.\d+)*(?:-\d+)?[A-Za-z]?)(?:\s|[:：.。)、\]-]|$)', 1), '')"
 
 
 @query(
