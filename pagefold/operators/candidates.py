@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagefold.functions.geometry import area, clipped, edges_touched, height, inter_area, width, zero
+from pagefold.functions.geometry import area, clipped, cover_of_smaller, edges_touched, height, inter_area, iou, width, zero
 from pagefold.operators.boxjoin import box_join
-from pagefold.operators.groups import arbitrate, page_clusters, suppress
+from pagefold.operators.groups import arbitrate, losers, page_clusters, suppress
+from pagefold.plans.partitioning import ordered_positions
+from pagefold.plans.shared import stored
 
 # Sizes in points that the rules compare with.
 BORDER_WIDTH, BORDER_HEIGHT = 80.0, 80.0
 BAND_WIDTH, BAND_HEIGHT, BAND_ASPECT = 80.0, 12.0, 2.0
 CLUSTER_WIDTH, CLUSTER_HEIGHT, SLENDER_LONG, SLENDER_SHORT, SLENDER_ASPECT = 24.0, 24.0, 80.0, 8.0, 4.0
 IMAGE_AREA, COMPOSITE_GAP, COMPOSITE_MEMBERS, EDGE = 64.0, 12.0, 3, 12.0
+IMAGE_SAME, IMAGE_COVERED = 0.95, 0.98
+FRAGMENT_AREA, COMPOSITE_SHARE, COMPOSITE_SAME = 16.0, 0.75, 0.95
+DENSE_FILLS, DENSE_AREA = 6, 900.0
 
 
 def drawing_kind(dashed: Column, filled: Column, box: str = "") -> Column:
@@ -36,28 +41,57 @@ def stroke_orientation(stroke: Column, box: str = "") -> Column:
     return F.when((w >= 80) & (h <= limit), "horizontal").when((h >= 80) & (w <= limit), "vertical")
 
 
+def composite_fragment(kind: Column, drawing: Column, filled: Column, orientation: Column, page_w: float, page_h: float) -> Column:
+    """What a drawing may add to a composite: ``fill``, ``horizontal`` or ``vertical`` (a stroke, ``drawing`` s), null for nothing.
+
+    Borders and bands add nothing; nor do fills that are tiny, cover most of the page or touch three of its edges.
+    ``orientation`` is ``stroke_orientation`` of the drawing; the box is clipped to the page first.
+    """
+    box = clipped("", page_w, page_h)
+    fill = filled & (area(box) > 0)
+    good = (area(box) >= FRAGMENT_AREA) & (area(box) / (page_w * page_h) < COMPOSITE_SHARE) & (edges_touched(box, page_w, page_h, EDGE) < 3)
+    plain = ~F.coalesce(kind.isin("panel_border", "color_band"), F.lit(False))
+    return F.when(plain, F.when(fill, F.when(good, "fill")).when(drawing == "s", orientation))
+
+
 def composites(fragments: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    """Clusters of three or more fragments at gaps of 12 points, with counts by orientation and fill; page-sized ones and those at three edges fall out.
+    """Clusters of three or more fragments at gaps of 12 points, with counts by orientation and fill.
 
     ``fragments`` has ``orientation`` (null: none) and ``filled``. Without a fill a composite needs three horizontal and
-    two vertical strokes, with one two strokes.
+    two vertical strokes, with one two strokes, unless it is a dense one: six fills or more, all but one member at most,
+    and 900 square points. Page-sized ones, those at three edges and those under 24 points fall out, and so does one
+    that nearly equals an earlier one (from above, then from the left).
     """
     member = page_clusters(fragments, COMPOSITE_GAP)
     joined = fragments.join(member, ["page_idx", "ord"])
     grouped = joined.groupBy("page_idx", "cluster").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("members"), F.count_if(F.col("orientation") == "horizontal").alias("horizontal"), F.count_if(F.col("orientation") == "vertical").alias("vertical"), F.count_if("filled").alias("fills")
-    )
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("members"), F.count_if(F.col("orientation") == "horizontal").alias("horizontal"), F.count_if(F.col("orientation") == "vertical").alias("vertical"), F.count_if("filled").alias("fills"),
+        F.min(F.struct("y0", "x0", "ord")).alias("_first"),
+    )
     box = dict(zip(("x0", "y0", "x1", "y1"), clipped("", page_w, page_h), strict=True))
     inside = grouped.withColumns(box).where(F.col("members") >= COMPOSITE_MEMBERS)
     strokes = F.col("horizontal") + F.col("vertical")
-    good = F.when(F.col("fills") > 0, strokes >= 2).otherwise((F.col("horizontal") >= 3) & (F.col("vertical") >= 2))
-    return inside.where((area("") > 0) & (area("") / (page_w * page_h) < 0.75) & (edges_touched("", page_w, page_h, EDGE) < 3) & good)
+    dense = (F.col("fills") >= DENSE_FILLS) & (F.col("fills") >= F.col("members") - 1) & (area("") >= DENSE_AREA)
+    good = F.when(F.col("fills") > 0, (strokes >= 2) | dense).otherwise((F.col("horizontal") >= 3) & (F.col("vertical") >= 2))
+    large = (width("") >= CLUSTER_WIDTH) & (height("") >= CLUSTER_HEIGHT)
+    found = inside.where((area("") > 0) & (area("") / (page_w * page_h) < COMPOSITE_SHARE) & (edges_touched("", page_w, page_h, EDGE) < 3) & good & large)
+    found = found.withColumn("ord", F.col("cluster"))
+    return suppress(found, [F.col("_first").asc()], COMPOSITE_SAME, 1.0).where("kept").drop("kept", "ord", "_first")
 
 
 def distinct_images(images: DataFrame, page_w: float, page_h: float) -> DataFrame:
-    """Images clipped to the page, of 64 square points or more, without later near-duplicates (IoU above 0.95 or 98 % of the smaller covered)."""
+    """Images clipped to the page, of 64 square points or more. Those of the text dictionary all stay; one found by
+    ``xref`` goes if one that stayed before it nearly equals it (IoU above 0.95 or 98 % of the smaller covered).
+
+    Images of the text dictionary come first, then by ``ord``. Only near pairs are joined; rounds settle them.
+    """
     box = dict(zip(("x0", "y0", "x1", "y1"), clipped("", page_w, page_h), strict=True))
-    return suppress(images.withColumns(box).where(area("") >= IMAGE_AREA), [F.col("ord").asc()], 0.95, 0.98).where("kept").drop("kept")
+    seen = stored(images.withColumns(box).where(area("") >= IMAGE_AREA))
+    slim = seen.select("page_idx", "ord", "x0", "y0", "x1", "y1", (F.col("source") == "xref").alias("late"))
+    before = F.col("b_late") & (F.struct("a_late", "a_ord") < F.struct("b_late", "b_ord"))
+    same = (iou("a_", "b_") > IMAGE_SAME) | (cover_of_smaller("a_", "b_") > IMAGE_COVERED)
+    rivals = box_join(slim, slim, where=before & same).select("page_idx", F.col("a_ord").alias("better"), F.col("b_ord").alias("worse"))
+    return seen.join(losers(rivals), ["page_idx", "ord"], "left_anti")
 
 
 def raster_strips(rasters: DataFrame, *keys: str) -> DataFrame:
@@ -90,7 +124,8 @@ def raster_strips(rasters: DataFrame, *keys: str) -> DataFrame:
     return s.where(tight & (column | row)).select(*keys, "members", "x0", "y0", "x1", "y1", F.when(column, "column").otherwise("row").alias("strip"))
 
 
-# Bonus of each strategy.
+# Bonus of each strategy and weights of the score.
+PROPOSAL = {"kept": 0.7, "text": 0.2, "compact": 0.1, "least": 0.95, "lost": 2.0}
 STRATEGIES = {"support_bbox": 0.0, "single_raster_core": 0.12, "visual_atom_union": 0.05}
 
 
@@ -124,7 +159,8 @@ def boundary_proposals(supports: DataFrame, atoms: DataFrame) -> DataFrame:
     text = F.when(F.col("_ta") > 0, F.col("_ti") / F.col("_ta")).otherwise(F.lit(0.0))
     compact = F.when(area("s_") > 0, zero(1 - area("") / area("s_"))).otherwise(F.lit(0.0))
     bonus = F.coalesce(F.create_map(*[F.lit(x) for kv in STRATEGIES.items() for x in kv])[F.col("strategy")], F.lit(0.0))
-    score = 0.7 * keep + 0.2 * (1 - text) + 0.1 * compact - zero(0.95 - keep) * 2 + bonus
+    w = PROPOSAL
+    score = w["kept"] * keep + w["text"] * (1 - text) + w["compact"] * compact - zero(w["least"] - keep) * w["lost"] + bonus
     return sums.select("page_idx", "ord", "strategy", *box, F.round(F.least(F.lit(1.0), zero(score)), 4).alias("score"))
 
 
@@ -143,6 +179,10 @@ def primitive_groups(primitives: DataFrame) -> DataFrame:
 # The most that a seed of each kind of evidence counts, and how covering over a quarter of the page costs.
 SEED_CAPS = {"layout_column": 0.8, "image_cluster": 0.65, "image_seed": 0.45, "captioned_image_seed": 0.4, "caption_anchor_visual": 0.55, "visual_community": 0.35, "seed_free_compact_visual": 0.18, "seed_free_isolated_visual": 0.12, "border": 0.35}
 OTHER_CAP = 0.5
+COVERED = 0.25
+LEVELS = {"L0": 0.0, "L1": 0.1, "L2": 0.2}
+RICHNESS = {"nodes": 0.2, "atoms": 0.12}
+PENALTIES = {"supported": 1.2, "multi": 0.9}
 COVERAGE_COSTS = {"visual_community": 2.0, "seed_free_compact_visual": 2.4}
 
 
@@ -151,21 +191,25 @@ def _of(table: dict[str, float], key: Column, other: float) -> Column:
 
 
 def closure_scores(closures: DataFrame, page_area: float) -> DataFrame:
-    """Scores of closures ``page_idx, seed, nodes, atoms, evidence, seed_score`` with a box; best first on a page as ``rank``.
+    """Scores of closures ``page_idx, seed, nodes, atoms, evidence, seed_score, level, multi, captions, supported`` with a box; best first on a page as ``rank``.
 
-    The capped score of the seed, richness by nodes and atoms, 0.2 for the level, less the cost of covering too much of
-    the page. Empty boxes fall out.
+    The capped score of the seed, richness by nodes and atoms, the bonus of the level, less the cost of covering too
+    much of the page, of a visual community without caption that a compact group of the same elements supports
+    (``supported``), and of spanning several captions (``multi``). Empty boxes fall out. Ranks come from a range sort.
     """
     kind = F.coalesce("evidence", F.lit(""))
-    rich = F.round(F.log1p("nodes") * 0.2 + F.log1p("atoms") * 0.12, 4)
-    cost = zero(area("") / page_area - 0.25) * _of(COVERAGE_COSTS, kind, 0.0)
-    scored = closures.where(area("") > 0).withColumn("score", F.round(F.least(F.col("seed_score"), _of(SEED_CAPS, kind, OTHER_CAP)) + rich + 0.2 - cost, 4))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("page_idx").orderBy(F.col("score").desc(), F.col("seed").asc())))
+    rich = F.round(F.log1p("nodes") * RICHNESS["nodes"] + F.log1p("atoms") * RICHNESS["atoms"], 4)
+    cost = zero(area("") / page_area - COVERED) * _of(COVERAGE_COSTS, kind, 0.0)
+    support = F.when((kind == "visual_community") & (F.col("captions") == 0) & F.col("supported"), PENALTIES["supported"]).otherwise(F.lit(0.0))
+    span = F.when(F.col("multi"), PENALTIES["multi"]).otherwise(F.lit(0.0))
+    score = F.round(F.least(F.col("seed_score"), _of(SEED_CAPS, kind, OTHER_CAP)) + rich + _of(LEVELS, F.col("level"), 0.0) - cost - support - span, 4)
+    scored = closures.where(area("") > 0).withColumn("score", score)
+    return ordered_positions(scored, "page_idx", [F.col("score").desc(), F.col("seed").asc()]).withColumn("rank", (F.col("group_pos") + 1).cast("int")).drop("group_pos")
 
 
-def lifecycle(events: DataFrame, chosen: DataFrame, stage: str) -> DataFrame:
-    """One event per candidate of a stage: selected if chosen, else suppressed."""
+def lifecycle(events: DataFrame, chosen: DataFrame, stage: str, reason: str, threshold: float) -> DataFrame:
+    """One event per candidate of a stage, with its ``score``: selected if chosen, else suppressed for a reason; ``threshold`` is what the stage compared with."""
     picked = chosen.select("page_idx", "ord").withColumn("_on", F.lit(True))
-    return events.join(picked, ["page_idx", "ord"], "left").select("page_idx", "ord", F.lit(stage).alias("stage"), F.when(F.col("_on"), "selected").otherwise("suppressed").alias("decision"))
-
-
+    on = F.coalesce("_on", F.lit(False))
+    named = {"stage": F.lit(stage), "decision": F.when(on, "selected").otherwise("suppressed"), "reason": F.when(~on, reason), "threshold": F.lit(threshold)}
+    return events.join(picked, ["page_idx", "ord"], "left").select("page_idx", "ord", *[c.alias(n) for n, c in named.items()], "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagefold.functions.geometry import cover_of_smaller, gap, iou
+from pagefold.functions.geometry import cover_of_first, cover_of_smaller, gap, iou
 from pagefold.operators.boxjoin import box_join, self_pairs
 from pagefold.operators.components import connected_components
 from pagefold.operators.pagegraph import text_barriers
@@ -106,6 +106,20 @@ def strips(boxes: DataFrame, max_gap: float) -> DataFrame:
     return boxes.withColumn("_cut", F.when(F.col("x0") > reach + max_gap, 1).otherwise(0)).withColumn("run", F.sum("_cut").over(by.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_cut")
 
 
+#: Share of a drawing that a text must cover to lie over it.
+OVER_TEXT = 0.08
+
+
+def over_text(visuals: DataFrame, texts: DataFrame, page_w: float, page_h: float) -> DataFrame:
+    """``visuals`` with ``over_text``: a text covers 8 % of it, or it holds the page's centre. Body texts count (``texts.body``), any where a page has none."""
+    bodies = texts.groupBy("page_idx").agg(F.bool_or("body").alias("_bodies"))
+    counted = texts.join(bodies, "page_idx").where("body OR NOT _bodies").select("page_idx", "x0", "y0", "x1", "y1")
+    key = ["page_idx", "ord"]
+    met = box_join(visuals.select(*key, "x0", "y0", "x1", "y1"), counted, where=cover_of_first("a_", "b_") >= OVER_TEXT).select("page_idx", F.col("a_ord").alias("ord")).distinct().withColumn("_met", F.lit(True))
+    centre = F.lit(page_w / 2).between(F.col("x0"), F.col("x1")) & F.lit(page_h / 2).between(F.col("y0"), F.col("y1"))
+    return visuals.join(met, key, "left").withColumn("over_text", F.coalesce("_met", F.lit(False)) | centre).drop("_met")
+
+
 def repeated_templates(boxes: DataFrame, key: Column, document: str, pages: DataFrame, least_share: float = 0.6) -> DataFrame:
     """Atoms that repeat at one place over a document's pages: at least min(5, max(3, ceil(0.3 pages))) times; vectors also over text in ``least_share`` of the cases.
 

@@ -9,7 +9,7 @@ from pagefold.operators.groups import mode_first
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """Per page: body font (most frequent, first seen among equals), widest block, one or two columns, median block height and paragraph gap.
+    """Per page: body font (most frequent, first seen among equals), widest block, one or two columns with their width and gap, median block height and paragraph gap.
 
     ``records`` has ``page_idx, ord``, a box, ``font`` and ``single`` (one line). Blocks of several lines count, single
     lines only where a page has no other. Gaps between blocks that overlap don't count; no gap gives 0.
@@ -26,7 +26,12 @@ def fingerprints(records: DataFrame) -> DataFrame:
         F.round(F.coalesce(median(F.when(F.col("_gap") >= 0, F.col("_gap"))), F.lit(0.0)), 4).alias("median_paragraph_gap"),
     )
     font = mode_first(working, ["page_idx"], "font", "ord").withColumnRenamed("font", "body_font_size")
-    return stats.join(font, "page_idx")
+    starts = working.select("page_idx", F.round("x0", 1).alias("_x")).distinct()
+    nth = F.row_number().over(Window.partitionBy("page_idx").orderBy("_x"))  # the two least of each page, limited before the shuffle
+    two = starts.withColumn("_n", nth).where("_n <= 2").groupBy("page_idx").agg(F.min("_x").alias("_first"), F.max("_x").alias("_second"))
+    out = stats.join(font, "page_idx").join(two, "page_idx").withColumn("column_width", F.round(F.col("text_region_width") / F.col("text_region_columns"), 4))
+    gap = F.when(F.col("text_region_columns") > 1, F.round(F.col("_second") - F.col("_first") - F.col("column_width"), 4)).otherwise(F.lit(0.0))
+    return out.withColumn("column_gap", gap).drop("_first", "_second")
 
 
 def relative_thresholds(column_width: Column, font: Column, column_gap: Column, paragraph_gap: Column) -> dict[str, Column]:
@@ -41,6 +46,15 @@ def relative_thresholds(column_width: Column, font: Column, column_gap: Column,
     }
 
 
+#: Gap of texts attached to a side, in sizes of the body font.
+ATTACHED = 4.0
+
+
+def visual_thresholds(relative: dict[str, Column], font: Column) -> dict[str, Column]:
+    """The fixed thresholds that a page's fingerprint replaces; all others stay as they are."""
+    return {"near_body_text_max_gap": relative["near_text_max_gap"], "attachment_side_max_gap": F.round(font * ATTACHED, 4).cast("double")}
+
+
 def line_spacing(lines: DataFrame, keys: list[str], font: str) -> DataFrame:
     """Mean distance of line tops over the font size per block, 1 for a single line; ``lines`` has ``y0, ord``."""
     step = F.lead("y0").over(Window.partitionBy(*keys).orderBy("y0", "ord")) - F.col("y0")

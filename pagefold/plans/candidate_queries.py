@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagefold.operators import candidates as c
 from pagefold.operators import groups
 from pagefold.operators.layout import line_spacing, typography
-from pagefold.plans.layout_queries import WITH_ATOMS, area_sql, gap_sql, inter_sql, round_sql
+from pagefold.plans.layout_queries import SQL as LAYOUT_SQL, WITH_ATOMS, area_sql, gap_sql, inter_sql, iou_sql, round_sql, suppress_sql
 from pagefold.sources.layouts import HEIGHT, WIDTH, atoms, stored_atoms
 
 QUERIES: dict = {}
@@ -26,6 +26,7 @@ def query(sql: str | None = None):
 
 
 _W, _H = "(x1 - x0)", "(y1 - y0)"
+_BOXES = ("x0", "y0", "x1", "y1")
 
 
 @query(
@@ -38,22 +39,50 @@ def drawing_classes(spark: SparkSession, d: str) -> DataFrame:
     return atoms(spark, d).select("page_idx", "ord", c.drawing_kind(x % 2 == 0, x % 3 == 0).alias("kind"), c.stroke_orientation((x % 20).cast("double")).alias("orientation"))
 
 
+_CLIPPED = ("least(greatest(x0, 0.0), 480.0)", "least(greatest(y0, 0.0), 640.0)", "greatest(least(greatest(x0, 0.0), 480.0), least(x1, 480.0))", "greatest(least(greatest(y0, 0.0), 640.0), least(y1, 640.0))")
+_CL_AREA = f"(({_CLIPPED[2]} - {_CLIPPED[0]}) * ({_CLIPPED[3]} - {_CLIPPED[1]}))"
+
+
+@query(
+    f"""{WITH_ATOMS} SELECT page_idx, ord, CASE WHEN kind NOT IN ('panel_border', 'color_band') THEN CASE WHEN xref % 3 = 0 AND {_CL_AREA} > 0 THEN CASE WHEN {_CL_AREA} >= 16 AND {_CL_AREA} / 307200 < 0.75 AND CAST({_CLIPPED[0]} <= 12 AS INT) + CAST({_CLIPPED[1]} <= 12 AS INT) + CAST({_CLIPPED[2]} >= 468 AS INT) + CAST({_CLIPPED[3]} >= 628 AS INT) < 3 THEN 'fill' END
+ WHEN xref % 5 <> 0 THEN CASE WHEN {_W} >= 80 AND {_H} <= greatest(6.0, xref % 20 * 4.0) THEN 'horizontal' WHEN {_H} >= 80 AND {_W} <= greatest(6.0, xref % 20 * 4.0) THEN 'vertical' END END END AS fragment FROM atoms"""
+)
+def composite_fragments(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("xref")
+    fragment = c.composite_fragment(F.col("kind"), F.when(x % 5 != 0, "s").otherwise("f"), x % 3 == 0, c.stroke_orientation((x % 20).cast("double")), 480.0, 640.0)
+    return atoms(spark, d).select("page_idx", "ord", fragment.alias("fragment"))
+
+
 @query(
     f"""WITH RECURSIVE {WITH_ATOMS[5:]}, v AS MATERIALIZED (SELECT * FROM atoms WHERE kind <> 'text_block'), links AS MATERIALIZED (SELECT a.page_idx, a.ord AS a, b.ord AS b FROM v a JOIN v b ON a.page_idx = b.page_idx AND a.ord <> b.ord WHERE {gap_sql('a.', 'b.')} <= 12),
  walk AS (SELECT page_idx, ord, ord AS c FROM v UNION SELECT w.page_idx, w.ord, l.b FROM walk w JOIN links l ON l.page_idx = w.page_idx AND l.a = w.c), member AS (SELECT page_idx, ord, min(c) AS cluster FROM walk GROUP BY 1, 2),
- g AS (SELECT page_idx, cluster, min(x0) AS x0, min(y0) AS y0, least(max(x1), 600.0) AS x1, least(max(y1), 760.0) AS y1, count(*) AS members, count(*) FILTER (xref % 3 = 1) AS horizontal, count(*) FILTER (xref % 3 = 2) AS vertical, count(*) FILTER (xref % 2 = 0) AS fills FROM member JOIN v USING (page_idx, ord) GROUP BY 1, 2)
- SELECT * FROM g WHERE members >= 3 AND {area_sql('')} > 0 AND {area_sql('')} / (600 * 760) < 0.75 AND CAST(x0 <= 12 AS INT) + CAST(y0 <= 12 AS INT) + CAST(x1 >= 588 AS INT) + CAST(y1 >= 748 AS INT) < 3 AND CASE WHEN fills > 0 THEN horizontal + vertical >= 2 ELSE horizontal >= 3 AND vertical >= 2 END"""
+ g AS (SELECT page_idx, cluster, min(x0) AS x0, min(y0) AS y0, least(max(x1), 600.0) AS x1, least(max(y1), 760.0) AS y1, count(*) AS members, count(*) FILTER (xref % 3 = 1) AS horizontal, count(*) FILTER (xref % 3 = 2) AS vertical, count(*) FILTER (xref % 3 = 0) AS fills, min((y0, x0, ord)) AS first FROM member JOIN v USING (page_idx, ord) GROUP BY 1, 2),
+ good AS (SELECT *, cluster AS ord FROM g WHERE members >= 3 AND {area_sql('')} > 0 AND {area_sql('')} / (600 * 760) < 0.75 AND CAST(x0 <= 12 AS INT) + CAST(y0 <= 12 AS INT) + CAST(x1 >= 588 AS INT) + CAST(y1 >= 748 AS INT) < 3 AND x1 - x0 >= 24 AND y1 - y0 >= 24
+  AND CASE WHEN fills > 0 THEN horizontal + vertical >= 2 OR (fills >= 6 AND fills >= members - 1 AND {area_sql('')} >= 900) ELSE horizontal >= 3 AND vertical >= 2 END), {suppress_sql('good', 'first', 0.95, 1.0, 3)}
+ SELECT page_idx, cluster, x0, y0, x1, y1, members, horizontal, vertical, fills FROM settled WHERE kept"""
 )
 def composite_drawings(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("xref") % 3
-    parts = stored_atoms(spark, d).where("kind <> 'text_block'").select("page_idx", "ord", "x0", "y0", "x1", "y1", F.when(x == 1, "horizontal").when(x == 2, "vertical").alias("orientation"), (F.col("xref") % 2 == 0).alias("filled"))
+    parts = stored_atoms(spark, d).where("kind <> 'text_block'").select("page_idx", "ord", "x0", "y0", "x1", "y1", F.when(x == 1, "horizontal").when(x == 2, "vertical").alias("orientation"), (x == 0).alias("filled"))
     return c.composites(parts, WIDTH, HEIGHT)
 
 
-@query()
+def _distinct_sql(rounds: int = 3) -> str:
+    same = f"({iou_sql('a.', 'b.')} > 0.95 OR {inter_sql('a.', 'b.')} / least({area_sql('a.')}, {area_sql('b.')}) > 0.98)"
+    parts = ["im0 AS (SELECT page_idx, ord, x0, y0, x1, y1, CASE WHEN xref % 2 = 0 THEN 'xref' ELSE 'text_dict' END AS source FROM atoms WHERE kind = 'raster_image')", "im1 AS (SELECT * FROM im0 UNION ALL SELECT page_idx, ord + 500, x0 + ord % 3, y0 + ord % 3, x1 + ord % 3, y1 + ord % 3, 'xref' FROM im0)",
+     f"im AS MATERIALIZED (SELECT page_idx, ord, least(x0, 600.0) AS x0, least(y0, 760.0) AS y0, greatest(least(x0, 600.0), least(x1, 600.0)) AS x1, greatest(least(y0, 760.0), least(y1, 760.0)) AS y1, source FROM im1 WHERE (least(x1, 600.0) - least(x0, 600.0)) * (least(y1, 760.0) - least(y0, 760.0)) >= 64)",
+     f"v0 AS MATERIALIZED (SELECT a.page_idx, a.ord AS better, b.ord AS worse FROM im a JOIN im b ON a.page_idx = b.page_idx AND b.source = 'xref' AND (a.source = 'xref', a.ord) < (true, b.ord) AND a.ord <> b.ord AND {same})"]
+    for i in range(rounds):
+        parts.append(f"o{i} AS MATERIALIZED (SELECT DISTINCT page_idx, worse AS ord FROM v{i} r WHERE NOT EXISTS (SELECT 1 FROM v{i} x WHERE x.page_idx = r.page_idx AND x.worse = r.better))")
+        parts.append(f"v{i + 1} AS MATERIALIZED (SELECT * FROM v{i} r WHERE NOT EXISTS (SELECT 1 FROM o{i} o WHERE o.page_idx = r.page_idx AND o.ord IN (r.better, r.worse)))")
+    gone = " UNION ALL ".join(f"SELECT * FROM o{i}" for i in range(rounds))
+    return f"{WITH_ATOMS}, {', '.join(parts)} SELECT * FROM im WHERE NOT EXISTS (SELECT 1 FROM ({gone}) g WHERE g.page_idx = im.page_idx AND g.ord = im.ord)"
+
+
+@query(_distinct_sql())
 def distinct_images(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d).where("kind = 'raster_image'").select("page_idx", "ord", "x0", "y0", "x1", "y1")
-    copies = a.select("page_idx", (F.col("ord") + 500).alias("ord"), *[(F.col(s) + F.col("ord") % 3).alias(s) for s in ("x0", "y0", "x1", "y1")])
+    a = stored_atoms(spark, d).where("kind = 'raster_image'").select("page_idx", "ord", *_BOXES, F.when(F.col("xref") % 2 == 0, "xref").otherwise("text_dict").alias("source"))
+    copies = a.select("page_idx", (F.col("ord") + 500).alias("ord"), *[(F.col(s) + F.col("ord") % 3).alias(s) for s in _BOXES], F.lit("xref").alias("source"))
     return c.distinct_images(a.unionByName(copies), WIDTH, HEIGHT)
 
 
@@ -68,7 +97,6 @@ def raster_strips(spark: SparkSession, d: str) -> DataFrame:
     return c.raster_strips(atoms(spark, d).where("kind = 'raster_image'"), "page_idx")
 
 
-_BOXES = ("x0", "y0", "x1", "y1")
 _PROPOSALS = f"""{WITH_ATOMS}, sup AS MATERIALIZED (SELECT page_idx, ord, x0 - 20 AS x0, y0 - 20 AS y0, x1 + 60 AS x1, y1 + 60 AS y1 FROM atoms WHERE kind = 'panel_border'),
  held AS MATERIALIZED (SELECT s.page_idx, s.ord, m.kind, m.x0 AS m_x0, m.y0 AS m_y0, m.x1 AS m_x1, m.y1 AS m_y1 FROM sup s JOIN atoms m USING (page_idx) WHERE (m.x0 + m.x1) / 2 BETWEEN s.x0 AND s.x1 AND (m.y0 + m.y1) / 2 BETWEEN s.y0 AND s.y1),
  per AS (SELECT page_idx, ord, count(*) FILTER (kind <> 'text_block') AS v, count(*) FILTER (kind = 'raster_image') AS r, {', '.join(f"{f}(m_{s}) FILTER (kind <> 'text_block') AS u_{s}, max(m_{s}) FILTER (kind = 'raster_image') AS c_{s}" for s, f in zip(_BOXES, ('min', 'min', 'max', 'max'), strict=True))} FROM held GROUP BY 1, 2),
@@ -112,18 +140,57 @@ def typography_blocks(spark: SparkSession, d: str) -> DataFrame:
     return typography(s, ["page_idx", "block"]).join(line_spacing(s, ["page_idx", "block"], "ten"), ["page_idx", "block"])
 
 
-@query()
-def ranked_closures(spark: SparkSession, d: str) -> DataFrame:
+_CLOSURES = f"""cl AS MATERIALIZED (SELECT r.page_idx, r.seed, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS nodes, count(*) FILTER (kind = 'raster_image') AS atoms FROM reach r JOIN atoms a ON a.page_idx = r.page_idx AND a.ord = r.node GROUP BY 1, 2),
+ ev AS (SELECT *, CASE WHEN atoms > 1 THEN 'image_cluster' WHEN seed % 2 = 0 THEN 'visual_community' ELSE 'layout_column' END AS evidence, 0.1 * (seed % 9) AS seed_score, ['L0', 'L1', 'L2'][seed % 3 + 1] AS level, seed % 4 = 0 AS multi, seed % 2 AS captions, nodes > 2 AS supported FROM cl WHERE {area_sql('')} > 0)"""
+_SCORED = """SELECT page_idx, seed, x0, y0, x1, y1, nodes, atoms, evidence, CAST(seed_score AS DOUBLE) AS seed_score, level, multi, captions, supported, score, CAST(row_number() OVER (PARTITION BY page_idx ORDER BY score DESC, seed) AS INTEGER) AS rank FROM (SELECT *, ROUNDED AS score FROM ev)"""
+_SCORE = f"least(CAST(seed_score AS DOUBLE), CAST(CASE evidence WHEN 'image_cluster' THEN 0.65 WHEN 'visual_community' THEN 0.35 ELSE 0.8 END AS DOUBLE)) + {round_sql('ln(1 + nodes) * 0.2::DOUBLE + ln(1 + atoms) * 0.12::DOUBLE')} + CAST(CASE level WHEN 'L1' THEN 0.1 WHEN 'L2' THEN 0.2 ELSE 0 END AS DOUBLE) - greatest({area_sql('')} / 456000 - 0.25, 0.0) * CASE WHEN evidence = 'visual_community' THEN 2.0 ELSE 0.0 END - CAST(CASE WHEN evidence = 'visual_community' AND captions = 0 AND supported THEN 1.2 ELSE 0 END AS DOUBLE) - CAST(CASE WHEN multi THEN 0.9 ELSE 0 END AS DOUBLE)"
+
+
+def _closures(spark: SparkSession, d: str) -> DataFrame:
+    """Closures of the page graph with made-up evidence."""
     from pagefold.plans.layout_queries import graph_closure
 
     a = stored_atoms(spark, d)
     reached = graph_closure(spark, d).join(a.withColumnRenamed("ord", "node"), ["page_idx", "node"])
-    boxes = reached.groupBy("page_idx", "seed").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "raster_image").alias("atoms"))
-    return c.closure_scores(boxes.withColumns({"seed_score": F.lit(0.7), "evidence": F.when(F.col("atoms") > 1, "image_cluster").otherwise("visual_community")}), WIDTH * HEIGHT)
+    boxes = reached.groupBy("page_idx", "seed").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == "raster_image").alias("atoms"), F.sort_array(F.collect_list("node")).alias("node_ids"), F.sort_array(F.collect_list(F.when(F.col("kind") == "raster_image", F.col("node")))).alias("raster_ids"), *[F.count_if(F.col("kind") == k).alias(n) for n, k in (("vectors", "vector_cluster"), ("borders", "panel_border"), ("bands", "color_band"))])
+    seed = F.col("seed")
+    return boxes.withColumns(
+        {
+            "evidence": F.when(F.col("atoms") > 1, "image_cluster").when(seed % 2 == 0, "visual_community").otherwise("layout_column"), "seed_score": (seed % 9).cast("decimal(3,1)").cast("double") / 10,
+            "level": F.element_at(F.array(F.lit("L0"), F.lit("L1"), F.lit("L2")), seed % 3 + 1), "multi": seed % 4 == 0, "captions": seed % 2, "supported": F.col("nodes") > 2,
+        }
+    )
+
+
+_REACH = LAYOUT_SQL["graph_closure"].rsplit(" SELECT w.page_idx", 1)
+
+
+@query(f"{_REACH[0]}, reach AS (SELECT w.page_idx{_REACH[1]}), {_CLOSURES} {_SCORED.replace('ROUNDED', round_sql(_SCORE))}")
+def ranked_closures(spark: SparkSession, d: str) -> DataFrame:
+    return c.closure_scores(_closures(spark, d).drop("node_ids", "raster_ids", "vectors", "borders", "bands"), WIDTH * HEIGHT)
 
 
 @query()
+def selected_closures(spark: SparkSession, d: str) -> DataFrame:
+    """Closures ranked by score, overlapping ones suppressed, displaced or kept by the rules; ``kept`` says which stay."""
+    from pagefold.operators.ranking import rank_closures
+
+    seed = F.col("seed")
+    scored = c.closure_scores(_closures(spark, d), WIDTH * HEIGHT).drop("rank")
+    kinds = F.array(*[F.lit(k) for k in ("visual_community", "image_seed", "caption_anchor_visual", "seed_free_compact_visual", "border", "captioned_image_seed", "layout_column", "seed_free_isolated_visual")])
+    kind = F.element_at(kinds, (seed % 8 + 1).cast("int"))
+    items = scored.select(
+        "page_idx", "seed", "score", *_BOXES, kind.alias("kind"), F.when(kind.startswith("seed_free"), "seed_free").otherwise("panel_candidate").alias("provenance"), F.col("nodes").alias("members"), "multi", (seed % 5 == 0).alias("numbered"),
+        F.when(seed % 3 == 0, F.array(seed)).when(seed % 3 == 1, F.array(seed % 2)).otherwise(F.array().cast("array<int>")).alias("captions"), F.array(seed).alias("sources"), F.col("node_ids").alias("atoms"), "raster_ids", F.col("atoms").alias("rasters"), "vectors", "borders", "bands",
+    )
+    return rank_closures(items, WIDTH).select("page_idx", "seed", "score", "kind", "rank", "kept")
+
+
+_STAGED = f"{WITH_ATOMS}, one_ AS (SELECT page_idx, ord, x0, y0, x1, y1, xref FROM atoms), {suppress_sql('one_', 'xref DESC, ord', 0.8, 0.9, 4)}"
+
+
+@query(f"{_STAGED} SELECT page_idx, ord, 'suppression' AS stage, CASE WHEN kept THEN 'selected' ELSE 'suppressed' END AS decision, CASE WHEN NOT kept THEN 'overlaps_better' END AS reason, 0.8 AS threshold, round(xref / 97.0, 4) AS score FROM settled")
 def lifecycle_events(spark: SparkSession, d: str) -> DataFrame:
     a = stored_atoms(spark, d).select("page_idx", "ord", "x0", "y0", "x1", "y1", "xref")
     kept = groups.suppress(a, [F.col("xref").desc(), F.col("ord").asc()]).where("kept")
-    return c.lifecycle(a, kept, "suppression")
+    return c.lifecycle(a.withColumn("score", F.round(F.col("xref") / 97.0, 4)), kept, "suppression", "overlaps_better", 0.8)

@@ -9,6 +9,7 @@ from pagefold.functions import geometry as g
 from pagefold.operators import groups, matching, pagegraph
 from pagefold.operators.boxjoin import box_join, self_pairs
 from pagefold.sources.layouts import ATOMS_SQL, HEIGHT, PAGES_SQL, PREDICTIONS_SQL, WIDTH, atoms, pages, predictions, stored_atoms
+from pagefold.plans.shared import stored
 from pagefold.sources.tables import table
 
 QUERIES: dict = {}
@@ -300,7 +301,21 @@ def isolated_visuals(spark: SparkSession, d: str) -> DataFrame:
     return groups.isolated(a.where("kind = 'vector_cluster'"), a.where(F.col("kind").isin("raster_image", "vector_cluster")), 40.0)
 
 
-@query()
+def suppress_sql(source: str, order: str, max_iou: float, max_cover: float, rounds: int) -> str:
+    """CTEs up to ``settled(page_idx, ord, .., kept)``: suppression over ``source`` as so many unrolled rounds; a test asserts that none is missing."""
+    near = f"({iou_sql('a.', 'b.')} > {max_iou} OR {inter_sql('a.', 'b.')} / least({area_sql('a.')}, {area_sql('b.')}) > {max_cover})"
+    parts = [f"placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_idx ORDER BY {order}) AS place FROM {source})", f"v0 AS MATERIALIZED (SELECT a.page_idx, a.ord AS better, b.ord AS worse FROM placed a JOIN placed b ON a.page_idx = b.page_idx AND a.place < b.place AND {near})"]
+    for i in range(rounds):
+        parts.append(f"o{i} AS MATERIALIZED (SELECT DISTINCT page_idx, worse AS ord FROM v{i} r WHERE NOT EXISTS (SELECT 1 FROM v{i} x WHERE x.page_idx = r.page_idx AND x.worse = r.better))")
+        parts.append(f"v{i + 1} AS MATERIALIZED (SELECT * FROM v{i} r WHERE NOT EXISTS (SELECT 1 FROM o{i} o WHERE o.page_idx = r.page_idx AND o.ord IN (r.better, r.worse)))")
+    gone = " UNION ALL ".join(f"SELECT * FROM o{i}" for i in range(rounds))
+    return ", ".join([*parts, f"settled AS (SELECT p.*, g.ord IS NULL AS kept FROM placed p LEFT JOIN ({gone}) g USING (page_idx, ord))"])
+
+
+_BOTH = "SELECT page_idx, ord, x0, y0, x1, y1, xref FROM atoms UNION ALL SELECT page_idx, ord + 1000, x0, y0, x1, y1, ord % 5 FROM preds"
+
+
+@query(f"{WITH_ATOMS}, both_ AS ({_BOTH}), {suppress_sql('both_', 'xref DESC, ord', 0.8, 0.9, 6)} SELECT page_idx, ord, x0, y0, x1, y1, xref, kept FROM settled")
 def suppressed_boxes(spark: SparkSession, d: str) -> DataFrame:
     a = stored_atoms(spark, d)
     both = a.select(*BOX, "xref").unionByName(predictions(spark, d, a).select("page_idx", (F.col("ord") + 1000).alias("ord"), "x0", "y0", "x1", "y1", (F.col("ord") % 5).cast("bigint").alias("xref")))
@@ -328,15 +343,27 @@ def xref_usage(spark: SparkSession, d: str) -> DataFrame:
     return atoms(spark, d).where("kind = 'raster_image'").groupBy("xref").agg(F.countDistinct("page_idx").alias("pages"), F.count(F.lit(1)).alias("uses"))
 
 
+_PLACE = "concat_ws(',', " + ", ".join(f"printf('%.3f', round({c} / {m}, 3))" for c, m in (("x0", 600), ("y0", 760), ("x1", 600), ("y1", 760))) + ")"
+
+
 @query(
-    f"""{WITH_ATOMS}, k AS (SELECT a.page_idx, a.ord, a.kind, p.doc_id, a.xref % 5 AS spot, a.xref % 3 = 0 AS over_text FROM atoms a JOIN pages p USING (page_idx) WHERE kind IN ('raster_image', 'vector_cluster')),
+    f"""{WITH_ATOMS}, snapped AS MATERIALIZED (SELECT page_idx, ord, kind, text, xref, x0 - x0 % 100 AS x0, y0 - y0 % 100 AS y0, x0 - x0 % 100 + 180 AS x1, y0 - y0 % 100 + 90 AS y1 FROM atoms), texts AS MATERIALIZED (SELECT *, (x1 - x0) / 600 >= 0.3 AND length(text) >= 20 AS body FROM snapped WHERE kind = 'text_block' AND length(text) >= 12), over_ AS (SELECT page_idx, bool_or(body) AS bodies FROM texts GROUP BY 1),
+ k AS (SELECT a.page_idx, a.ord, a.kind, p.doc_id, {_PLACE} || CASE WHEN kind = 'vector_cluster' THEN '|' || (xref % 2) ELSE '' END AS spot, (a.x0 <= 300 AND a.x1 >= 300 AND a.y0 <= 380 AND a.y1 >= 380)
+  OR EXISTS (SELECT 1 FROM texts t JOIN over_ o USING (page_idx) WHERE t.page_idx = a.page_idx AND (t.body OR NOT o.bodies) AND {inter_sql('a.', 't.')} / {area_sql('a.')} >= 0.08) AS over_text FROM snapped a JOIN pages p USING (page_idx) WHERE kind IN ('raster_image', 'vector_cluster')),
  n AS (SELECT doc_id, least(5, greatest(3, ceil(count(*) * 0.3))) AS least_n FROM pages GROUP BY 1),
  often AS (SELECT doc_id, kind, spot FROM k JOIN n USING (doc_id) GROUP BY doc_id, kind, spot, least_n HAVING count(*) >= least_n AND (kind <> 'vector_cluster' OR count(*) FILTER (over_text) / count(*) >= 0.6))
  SELECT page_idx, ord, kind, doc_id FROM k JOIN often USING (doc_id, kind, spot)"""
 )
 def template_atoms(spark: SparkSession, d: str) -> DataFrame:
-    a = atoms(spark, d).where(F.col("kind").isin("raster_image", "vector_cluster")).select("page_idx", "ord", "kind", (F.col("xref") % 5).alias("spot"), (F.col("xref") % 3 == 0).alias("over_text"))
-    return groups.repeated_templates(a, F.col("spot"), "doc_id", pages(spark, d)).select("page_idx", "ord", "kind", "doc_id")
+    """Elements that repeat at one place over a document's pages, places as they are after elements were snapped to a grid."""
+    x, y = F.col("x0") - F.col("x0") % 100, F.col("y0") - F.col("y0") % 100
+    a = stored(atoms(spark, d).select("page_idx", "ord", "kind", "text", "xref", x.alias("x0"), y.alias("y0"), (x + 180).alias("x1"), (y + 90).alias("y1")))
+    texts = a.where("kind = 'text_block' AND length(text) >= 12").withColumn("body", (g.width("") / WIDTH >= 0.3) & (F.length("text") >= 20))
+    visuals = a.where(F.col("kind").isin("raster_image", "vector_cluster"))
+    over = groups.over_text(visuals, texts, WIDTH, HEIGHT)
+    style = F.when(F.col("kind") == "vector_cluster", F.concat(F.lit("|"), (F.col("xref") % 2).cast("string"))).otherwise(F.lit(""))
+    key = F.concat(g.normalised("", WIDTH, HEIGHT), style)
+    return groups.repeated_templates(over, key, "doc_id", pages(spark, d)).select("page_idx", "ord", "kind", "doc_id")
 
 
 _RECORDS = "SELECT page_idx, ord, x0, y0, x1, y1, 8 + xref % 5 AS font, xref % 4 = 0 AS single FROM atoms WHERE kind IN ('text_block', 'color_band')"
@@ -346,14 +373,31 @@ _RECORDS = "SELECT page_idx, ord, x0, y0, x1, y1, 8 + xref % 5 AS font, xref % 4
     f"""{WITH_ATOMS}, r AS ({_RECORDS}), w AS (SELECT * FROM r WHERE NOT single OR page_idx NOT IN (SELECT page_idx FROM r WHERE NOT single)),
  font AS (SELECT page_idx, font FROM (SELECT page_idx, font, row_number() OVER (PARTITION BY page_idx ORDER BY count(*) DESC, min(ord)) AS n FROM w GROUP BY 1, 2) WHERE n = 1),
  gaps AS (SELECT page_idx, median(gap) AS g FROM (SELECT page_idx, lead(y0) OVER (PARTITION BY page_idx ORDER BY y0, ord) - y1 AS gap FROM w) WHERE gap >= 0 GROUP BY 1)
- SELECT w.page_idx, any_value(f.font) AS body_font_size, max(x1 - x0) AS text_region_width, CASE WHEN count(DISTINCT round(x0, 1)) <= 1 THEN 1 ELSE 2 END AS text_region_columns, round(median(y1 - y0), 4) AS median_text_block_height, round(coalesce(any_value(g.g), 0.0), 4) AS median_paragraph_gap
+ SELECT w.page_idx, any_value(f.font) AS body_font_size, max(x1 - x0) AS text_region_width, CASE WHEN count(DISTINCT round(x0, 1)) <= 1 THEN 1 ELSE 2 END AS text_region_columns, round(max(x1 - x0) / CASE WHEN count(DISTINCT round(x0, 1)) <= 1 THEN 1 ELSE 2 END, 4) AS column_width,
+ CASE WHEN count(DISTINCT round(x0, 1)) > 1 THEN round(list_sort(list_distinct(list(round(x0, 1))))[2] - min(round(x0, 1)) - round(max(x1 - x0) / 2, 4), 4) ELSE 0.0 END AS column_gap, round(median(y1 - y0), 4) AS median_text_block_height, round(coalesce(any_value(g.g), 0.0), 4) AS median_paragraph_gap
  FROM w JOIN font f USING (page_idx) LEFT JOIN gaps g USING (page_idx) GROUP BY 1"""
 )
 def layout_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     from pagefold.operators.layout import fingerprints
 
-    r = atoms(spark, d).where(F.col("kind").isin("text_block", "color_band")).select(*BOX, (F.col("xref") % 5 + 8).alias("font"), (F.col("xref") % 4 == 0).alias("single"))
-    return fingerprints(r)
+    return fingerprints(_records(spark, d))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return atoms(spark, d).where(F.col("kind").isin("text_block", "color_band")).select(*BOX, (F.col("xref") % 5 + 8).alias("font"), (F.col("xref") % 4 == 0).alias("single"))
+
+
+@query(
+    f"""SELECT page_idx, round(column_width * 0.3, 4) AS panel_border_min_size, round(column_width * 0.3, 4) AS color_band_min_width, round(body_font_size * 1.2, 4) AS color_band_min_height, round(column_width * 0.6, 4) AS image_seed_min_size, round(column_gap * 1.5, 4) AS cluster_max_gap, round(median_paragraph_gap * 3, 4) AS near_text_max_gap,
+ round(median_paragraph_gap * 3, 4) AS near_body_text_max_gap, CAST(body_font_size * 4 AS DOUBLE) AS attachment_side_max_gap FROM ({SQL['layout_fingerprints']})"""
+)
+def layout_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds that follow each page's fingerprint, and the two that replace fixed ones."""
+    from pagefold.operators.layout import fingerprints, relative_thresholds, visual_thresholds
+
+    p = fingerprints(_records(spark, d))
+    relative = relative_thresholds(F.col("column_width"), F.col("body_font_size"), F.col("column_gap"), F.col("median_paragraph_gap"))
+    return p.select("page_idx", *[c.alias(n) for n, c in relative.items()], *[c.alias(n) for n, c in visual_thresholds(relative, F.col("body_font_size")).items()])
 
 
 @query("SELECT event_type, count(*) AS count, round(sum(CAST(value AS DECIMAL(18,4))), 4) AS total, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, min(value) AS min FROM events GROUP BY 1")
