@@ -194,3 +194,62 @@ def lifecycle_events(spark: SparkSession, d: str) -> DataFrame:
     a = stored_atoms(spark, d).select("page_idx", "ord", "x0", "y0", "x1", "y1", "xref")
     kept = groups.suppress(a, [F.col("xref").desc(), F.col("ord").asc()]).where("kept")
     return c.lifecycle(a.withColumn("score", F.round(F.col("xref") / 97.0, 4)), kept, "suppression", "overlaps_better", 0.8)
+
+
+_EIGHT = ("visual_community", "image_seed", "caption_anchor_visual", "seed_free_compact_visual", "border", "captioned_image_seed", "layout_column", "image_cluster")
+_IT = f"""{WITH_ATOMS}, src AS (SELECT page_idx, ord, x0, y0, x1, y1, xref FROM atoms UNION ALL SELECT page_idx, ord + 1000, x0, y0, x1, y1, ord % 5 FROM preds),
+ it AS MATERIALIZED (SELECT page_idx, ord, x0, y0, x1, y1, [{', '.join(repr(k) for k in _EIGHT)}][(xref + ord) % 8 + 1] AS kind, xref % 5 AS members, xref % 7 = 0 AS multi, xref % 5 = 0 AS numbered, CASE xref % 3 WHEN 0 THEN [ord % 2] WHEN 1 THEN [xref % 2] ELSE [] END AS captions,
+  CASE WHEN xref % 2 = 0 THEN [ord] ELSE [ord, ord % 1000] END AS sources, [ord % 1000, xref % 3] AS atoms, [ord % 1000] AS raster_ids, xref % 4 AS rasters, xref % 3 AS vectors, xref % 2 AS borders, ord % 2 AS bands, (xref % 10 + 1) / 10 AS score FROM src)"""
+
+
+def _verdict_sql(a: str, b: str) -> str:
+    """The verdict on ``b`` after ``a``, said once more in SQL."""
+    ar, inter = area_sql, inter_sql(a, b)
+    cover = f"({inter} / least({ar(a)}, {ar(b)}))"
+    images = "('image_cluster', 'image_seed', 'captioned_image_seed')"
+    visuals = lambda p: f"({p}rasters + {p}vectors + {p}borders + {p}bands)"
+    free = lambda p: f"({p}kind LIKE 'seed_free%')"
+    whole = "('visual_community', 'layout_column', 'caption_anchor_visual')"
+
+    def keeps(f: str, p: str) -> str:
+        moved = " OR ".join(f"abs({f}{s} - {p}{s}) >= 8" for s in _BOXES)
+        return f"(NOT {free(f)} AND {f}kind IN ('image_seed', 'captioned_image_seed') AND len({f}sources) = 1 AND len({p}sources) > 1 AND list_contains({p}sources, {f}sources[1]) AND {p}raster_ids = [{f}sources[1]] AND ({moved}))"
+
+    def scoped(f: str, p: str) -> str:
+        return f"({p}multi AND NOT {f}multi AND len({f}captions) = 1 AND (len({p}captions) = 0 OR list_has_all({p}captions, {f}captions)) AND {cover} >= 0.9)"
+
+    def compact(f: str, p: str) -> str:
+        rich = f"(CASE WHEN {visuals(p)} > 0 THEN {visuals(p)} / ({visuals(p)} + 3.0) ELSE 0.0 END)"
+        return f"({f}kind = 'seed_free_compact_visual' AND CASE WHEN {p}kind = 'caption_anchor_visual' THEN least(1.0, {f}score / {p}score) + (1 - {rich}) * 0.42::DOUBLE >= 0.62::DOUBLE ELSE {p}kind IN {images} END AND {inter} / {ar(p)} >= 0.82::DOUBLE AND {ar(f)} / {ar(p)} <= 7 AND {visuals(f)} >= 2)"
+
+    def full(f: str, p: str) -> str:
+        layout = f"({f}kind = 'visual_community' AND {p}kind = 'layout_column' AND len({f}captions) = 1 AND {f}captions = {p}captions AND {cover} >= 0.9 AND {ar(f)} / {ar(p)} <= 6 AND ({f}members > {p}members OR {ar(f)} / {ar(p)} >= 1.15::DOUBLE))"
+        plain = f"({inter} / greatest({ar(p)}, 1.0) >= 0.9 AND {ar(f)} / greatest({ar(p)}, 1.0) <= 8 AND {f}kind IN {whole} AND {p}kind NOT IN {whole})"
+        others = f"({f}vectors + {f}borders + {f}bands)"
+        border = f"({ar(f)} / {ar(p)} <= 6 AND {f}rasters >= 2 AND {f}borders + {f}vectors >= 2 AND {visuals(f)} >= greatest(4, {visuals(p)} + 3))"
+        local = f"({inter} / {ar(p)} >= 0.9 AND CASE WHEN {p}kind = 'border' THEN {border} ELSE {p}kind IN {images} AND {ar(f)} / {ar(p)} <= 9 AND {f}rasters >= 1 AND {others} >= 2 END)"
+        return f"(NOT {f}multi AND CASE WHEN {f}kind = 'visual_community' THEN {local} OR (len({f}captions) > 0 AND ({layout} OR {plain})) ELSE {layout} OR {plain} END)"
+
+    return f"""CASE WHEN NOT ({iou_sql(a, b)} > 0.8 OR {cover} > 0.9) THEN 'both' WHEN {keeps(b, a)} THEN 'both' WHEN {scoped(b, a)} THEN 'displaces' WHEN {scoped(a, b)} THEN 'suppressed' WHEN {compact(b, a)} THEN 'displaces' WHEN {compact(a, b)} THEN 'suppressed'
+ WHEN {full(b, a)} THEN CASE WHEN {keeps(a, b)} THEN 'both' ELSE 'displaces' END ELSE 'suppressed' END"""
+
+
+_SUBSUMED = f"(b.kind LIKE 'seed_free%' AND a.kind NOT LIKE 'seed_free%' AND (a.kind IN ('image_cluster', 'image_seed', 'captioned_image_seed') OR {inter_sql('a.', 'b.')} / greatest({area_sql('b.')}, 1.0) >= 0.88::DOUBLE) AND list_has_all(a.atoms, b.atoms))"
+
+
+@query(f"{_IT}, j AS (SELECT a.page_idx, a.ord AS a, b.ord AS b, {_verdict_sql('a.', 'b.')} AS verdict, {_SUBSUMED} AS subsumed FROM it a JOIN it b ON a.page_idx = b.page_idx AND a.ord < b.ord WHERE {inter_sql('a.', 'b.')} > 0) SELECT * FROM j WHERE verdict <> 'both' OR subsumed")
+def closure_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of overlapping candidates with what happens to them, candidates made of the elements of both systems."""
+    from pagefold.operators.ranking import rivals
+    from pagefold.sources.layouts import predictions
+
+    a = stored_atoms(spark, d)
+    both = a.select("page_idx", "ord", *_BOXES, "xref").unionByName(predictions(spark, d, a).select("page_idx", (F.col("ord") + 1000).alias("ord"), *_BOXES, (F.col("ord") % 5).cast("bigint").alias("xref")))
+    x, o = F.col("xref").cast("int"), F.col("ord")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _EIGHT]), (x + o) % 8 + 1)
+    items = both.select(
+        "page_idx", o.alias("rank"), *_BOXES, kind.alias("kind"), F.when(kind.startswith("seed_free"), "seed_free").otherwise("panel_candidate").alias("provenance"), (x % 5).alias("members"), (x % 7 == 0).alias("multi"), (x % 5 == 0).alias("numbered"),
+        F.when(x % 3 == 0, F.array(o % 2)).when(x % 3 == 1, F.array(x % 2)).otherwise(F.array().cast("array<int>")).alias("captions"), F.when(x % 2 == 0, F.array(o)).otherwise(F.array(o, o % 1000)).alias("sources"), F.array(o % 1000, x % 3).alias("atoms"), F.array(o % 1000).alias("raster_ids"),
+        (x % 4).alias("rasters"), (x % 3).alias("vectors"), (x % 2).alias("borders"), (o % 2).alias("bands"), ((x % 10 + 1) / 10).alias("score"),
+    )
+    return rivals(items, WIDTH)
