@@ -9,6 +9,9 @@ from pagefold.functions.geometry import area, cover_of_first, inter_area, iou, s
 from pagefold.operators.boxjoin import box_join
 from pagefold.plans.shared import checkpointed
 
+# The limits of strict quality.
+STRICT = {"iou": 0.75, "purity": 0.85, "coverage": 0.9, "side": 0.1, "oversized": 1.8, "fragment_coverage": 0.65, "fragment_purity": 0.9}
+
 
 def scored_pairs(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``page_idx, gt, pred, iou`` of pairs whose IoU reaches ``threshold`` (above 0)."""
@@ -42,10 +45,10 @@ def page_counts(spine: DataFrame, truth: DataFrame, found: DataFrame, matches: D
     m = matches.groupBy("page_idx").agg(F.count(F.lit(1)).alias("match_count"), F.sum(F.round("iou", 4).cast("decimal(12,4)")).alias("_iou"))
     out = spine.join(one(truth, "gt_count"), "page_idx", "left").join(one(found, "prediction_count"), "page_idx", "left").join(m, "page_idx", "left")
     out = out.na.fill(0, ["gt_count", "prediction_count", "match_count"])
-    return out.withColumns(rates()).withColumn("iou", _mean4("_iou", "match_count")).drop("_iou")
+    return out.withColumns(rates()).withColumn("iou", mean4("_iou", "match_count")).drop("_iou")
 
 
-def _mean4(total: str, n: str) -> Column:
+def mean4(total: str, n: str) -> Column:
     """An exact decimal total over a count, rounded half up to 4 digits; 0 for a count of 0."""
     exact = F.coalesce(F.col(total), F.lit(0)).cast("decimal(22,4)") / F.col(n).cast("decimal(12,0)")
     return F.when(F.col(n) > 0, F.round(exact, 4).cast("double")).otherwise(F.lit(0.0))
@@ -64,7 +67,7 @@ def micro(results: DataFrame, *keys: str) -> DataFrame:
     weighted = F.sum((F.col("iou").cast("decimal(12,4)") * F.col("match_count")).cast("decimal(30,4)"))
     out = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("page_count"), total("gt_count"), total("prediction_count"), total("match_count"), weighted.alias("_w"))
     out = out.withColumns(rates("total_gt_count", "total_prediction_count", "total_match_count"))
-    return out.withColumn("iou", _mean4("_w", "total_match_count")).drop("_w")
+    return out.withColumn("iou", mean4("_w", "total_match_count")).drop("_w")
 
 
 def grouped_micro(results: DataFrame, *keys: str) -> DataFrame:
@@ -75,7 +78,7 @@ def grouped_micro(results: DataFrame, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("page_count"), *[F.sum(c).alias(f"total_{c}") for c in ("gt_count", "prediction_count", "match_count")], F.sum(weighted).alias("_w")
     )
     out = out.withColumns(rates("total_gt_count", "total_prediction_count", "total_match_count"))
-    return out.withColumn("iou", _mean4("_w", "total_match_count")).drop("_w")
+    return out.withColumn("iou", mean4("_w", "total_match_count")).drop("_w")
 
 
 def strict_rows(truth: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:
@@ -100,12 +103,12 @@ def strict_rows(truth: DataFrame, found: DataFrame, matches: DataFrame) -> DataF
     hit_row = F.col("status") == "MATCH"
     flags = [
         F.when(F.col("status") == "FP", "fp"),
-        F.when(hit_row & (F.col("iou") < 0.75), "low_iou_match"),
-        F.when(F.col("purity") < 0.85, "low_pred_purity"),
-        F.when(hit_row & (F.col("coverage") < 0.9), "low_gt_coverage"),
-        *[F.when(F.col(e) > 0.1, e) for e in errors],
-        F.when(F.col("area_ratio") > 1.8, "oversized_box"),
-        F.when((F.col("coverage") < 0.65) & (F.col("purity") > 0.9), "inside_gt_fragment_or_legend"),
+        F.when(hit_row & (F.col("iou") < STRICT["iou"]), "low_iou_match"),
+        F.when(F.col("purity") < STRICT["purity"], "low_pred_purity"),
+        F.when(hit_row & (F.col("coverage") < STRICT["coverage"]), "low_gt_coverage"),
+        *[F.when(F.col(e) > STRICT["side"], e) for e in errors],
+        F.when(F.col("area_ratio") > STRICT["oversized"], "oversized_box"),
+        F.when((F.col("coverage") < STRICT["fragment_coverage"]) & (F.col("purity") > STRICT["fragment_purity"]), "inside_gt_fragment_or_legend"),
     ]
     out = measured.select("page_idx", "status", "gt", "pred", *[F.round(c, 4).alias(c) for c in ("iou", "purity", "coverage", "area_ratio")], F.array_join(F.array_compact(F.array(*flags)), "|").alias("flags"))
     zeros = {c: F.lit(0.0) for c in ("iou", "purity", "coverage", "area_ratio")}
@@ -130,7 +133,7 @@ def structure(truth: DataFrame, found: DataFrame, spine: DataFrame) -> DataFrame
     complete = best.groupBy("page_idx").agg(F.sum(F.when(F.col("b.want") == 0, F.lit(1.0)).otherwise(F.round(F.least("b.want", "b.have") / F.col("b.want"), 4)).cast("decimal(12,4)")).alias("_parts"))
     pred = found.groupBy("page_idx").agg(F.count(F.lit(1)).alias("prediction_count"), F.sum((F.size("group_ids") > 1).cast("int")).alias("_merged"), F.sum(F.when(area("") > 0, F.round(F.col("excluded") / area(""), 4)).otherwise(F.lit(0.0)).cast("decimal(14,4)")).alias("_dirty"))
     out = spine.select("page_idx").join(rows, "page_idx", "left").join(groups, "page_idx", "left").join(complete, "page_idx", "left").join(pred, "page_idx", "left").na.fill(0)
-    return out.select("page_idx", "gt_count", "prediction_count", _mean4("_extra", "gt_count").alias("fragmentation"), _mean4("_once", "gt_count").alias("fragmentation_distinct"), _mean4("_merged", "prediction_count").alias("overmerge"), _mean4("_dirty", "prediction_count").alias("contamination"), _mean4("_parts", "gt_count").alias("completeness"))
+    return out.select("page_idx", "gt_count", "prediction_count", mean4("_extra", "gt_count").alias("fragmentation"), mean4("_once", "gt_count").alias("fragmentation_distinct"), mean4("_merged", "prediction_count").alias("overmerge"), mean4("_dirty", "prediction_count").alias("contamination"), mean4("_parts", "gt_count").alias("completeness"))
 
 
 def intersections(pairs: DataFrame) -> DataFrame:

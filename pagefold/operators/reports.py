@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.operators.matching import rates
+from pagefold.operators.matching import mean4, rates
 from pagefold.plans.partitioning import ordered_positions
 from pagefold.plans.shared import stored
 
@@ -114,8 +114,7 @@ def compare_systems(pages: DataFrame, key: str, first: str, second: str, agreeme
     for n in names:
         gt, found = ("gt_count", f"{n}_prediction_count") if n != agreement else (f"{first}_prediction_count", f"{second}_prediction_count")
         out = out.withColumns({f"{n}_{k}": v for k, v in rates(gt, found, f"{n}_match_count").items()})
-        mean = F.when(F.col(f"{n}_match_count") > 0, F.round(F.col(f"_{n}_w") / F.col(f"{n}_match_count").cast("decimal(12,0)"), 4).cast("double")).otherwise(F.lit(0.0))
-        out = out.withColumn(f"{n}_iou", mean).drop(f"_{n}_w")
+        out = out.withColumn(f"{n}_iou", mean4(f"_{n}_w", f"{n}_match_count")).drop(f"_{n}_w")
     return out.withColumn("delta_f1", F.round(F.col(f"{second}_f1") - F.col(f"{first}_f1"), 4))
 
 
