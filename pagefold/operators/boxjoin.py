@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pagefold.functions.geometry import Box, overlap_x, overlap_y
 
+#: How far a box reaches: points, or an expression on the left box's columns ``a_...``.
+Reach = float | Column
+
 #: Side of a grid cell in points; the larger, the fewer cells a box is copied to, the smaller, the fewer pairs a dense page tests.
 CELL = 256.0
 #: Boxes up to which a page is one cell, and dense pages that are told apart; where there are more, every page is cut.
@@ -29,7 +32,7 @@ def dense_pages(boxes: DataFrame, on: tuple[str, ...] = ("page_idx",), most: int
     return None if n > MAX_DENSE else boxes.sparkSession.createDataFrame(counted.collect() if n else [], boxes.select(*on).schema)
 
 
-def box_join(left: DataFrame, right: DataFrame, *, reach: float | tuple[float, float] = 0.0, on: tuple[str, ...] = ("page_idx",), where: Column | None = None, axes: str = "xy", how: str = "inner", cell: float = CELL, most: int = DENSE) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, *, reach: Reach | tuple[Reach, Reach] = 0.0, on: tuple[str, ...] = ("page_idx",), where: Column | None = None, axes: str = "xy", how: str = "inner", cell: float = CELL, most: int = DENSE) -> DataFrame:
     """Pairs of boxes of one page that meet when the left one is grown by ``reach`` (sideways, up and down).
 
     Columns come out prefixed ``a_`` and ``b_``, those of ``on`` plain; ``where`` is tested on them. ``axes`` names the
@@ -76,7 +79,7 @@ def box_join(left: DataFrame, right: DataFrame, *, reach: float | tuple[float, f
     return a.join(met, test, how).select(*on, *[F.col(f"a_{c}").alias(c) for c in left.columns if c not in on])
 
 
-def self_pairs(boxes: DataFrame, *, reach: float | tuple[float, float] = 0.0, where: Column | None = None, on: tuple[str, ...] = ("page_idx",)) -> DataFrame:
+def self_pairs(boxes: DataFrame, *, reach: Reach | tuple[Reach, Reach] = 0.0, where: Column | None = None, on: tuple[str, ...] = ("page_idx",)) -> DataFrame:
     """Each pair of boxes of a page once, the one with the smaller ``ord`` as ``a``."""
     once = F.col("a_ord") < F.col("b_ord")
     return box_join(boxes, boxes, reach=reach, on=on, where=once if where is None else once & where)

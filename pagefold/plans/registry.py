@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagefold.plans import candidate_queries, curation_queries, dataset_queries, layout_queries, page_queries, report_queries, score_queries
+from pagefold.plans import candidate_queries, curation_queries, dataset_queries, instance_queries, layout_queries, page_queries, report_queries, score_queries
 
-MODULES = (layout_queries, candidate_queries, page_queries, score_queries, report_queries, dataset_queries, curation_queries)
+MODULES = (layout_queries, candidate_queries, page_queries, score_queries, instance_queries, report_queries, dataset_queries, curation_queries)
 
 
 def queries() -> dict:
