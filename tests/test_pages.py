@@ -66,7 +66,7 @@ def test_full_width_lines_and_scope_scores(spark):
     df = spark.createDataFrame([(20.0, 10.0, 580.0, 30.0, "12 kHz"), (20.0, 10.0, 300.0, 30.0, ""), (None, 10.0, 300.0, 30.0, "Figure 1: x"), (20.0, 10.0, 580.0, 300.0, "word " * 60)], "x0 double, y0 double, x1 double, y1 double, t string")
     got = df.select(is_full_width("", 600.0, 760.0).alias("w"), scope_text_score(F.col("t"), F.lit(20.0), F.lit(0.0), 760.0).alias("s")).collect()
     assert [r["w"] for r in got] == [True, False, False, False]  # an unknown left side is no small margin
-    assert got[0]["s"] == pytest.approx(0.45 + 0.28 + 0.34) and got[1]["s"] == -1.0 and got[2]["s"] == -0.8 and got[3]["s"] < 0
+    assert got[0]["s"] == pytest.approx(0.45 + 0.28 + 0.34 + 0.34) and got[1]["s"] == -1.0 and got[2]["s"] == -0.8 and got[3]["s"] < 0
 
 
 def test_reasons_are_merged_in_order(spark):
